@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leakage, mixing, neardup, spans
+from . import leakage, mixing, neardup, spam, spans
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(mixed, counted, targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_shared_amount, p6_found, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = spam.page_spam_evidence(table(spark, sf_dir, "documents"), "doc_id", "text", ["source", "package"])
+    return spam.spam_pages(evidence).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_shared_amount, p6_found, p7_mix, p7_shares, p8_found)}
 
 _RECORDS = """
 recs AS (SELECT 'function' AS record_kind, id AS record_id, any_value(body) AS t FROM functions GROUP BY id
