@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import leakage, mixing, neardup, spam, spans
+from . import handwritten, leakage, mixing, neardup, secrets, spam, spans
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = handwritten.file_evidence(table(spark, sf_dir, "files"), table(spark, sf_dir, "functions"))
+    return handwritten.not_handwritten(evidence).select("file_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +31,25 @@ def p3_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.named_records(spans.shared_amount(records, found, "rec", "text")).select("record_kind", "record_id", "n_chars", "shared_chars")
 
 
+def _code_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Constants and functions; a function that was delivered again has the same body, so its spans are the same."""
+    return table(spark, sf_dir, "constants").select("id", "name", "value_text"), table(spark, sf_dir, "functions").select("id", "body")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    constants, functions = _code_texts(spark, sf_dir)
+    a = secrets.find_secrets(constants, "id", "value_text", "name").withColumn("record_kind", F.lit("constant"))
+    b = secrets.find_secrets(functions, "id", "body").withColumn("record_kind", F.lit("function"))
+    return a.unionByName(b).select("record_kind", F.col("id").alias("record_id"), "secret_start", "secret_len")
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    constants, functions = _code_texts(spark, sf_dir)
+    a = secrets.redact_secrets(constants, "id", "value_text", "name").withColumn("record_kind", F.lit("constant"))
+    b = secrets.redact_secrets(functions, "id", "body").withColumn("record_kind", F.lit("function"))
+    return a.unionByName(b).select("record_kind", F.col("id").alias("record_id"), "text", "n_secrets").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", ["question", "answer"])
     return hits.select("doc_id", "item_id").distinct()
@@ -47,7 +71,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(evidence).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_shared_amount, p6_found, p7_mix, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_shared_amount, p4_found, p4_redacted, p6_found, p7_mix, p7_shares, p8_found)}
 
 _RECORDS = """
 recs AS (SELECT 'function' AS record_kind, id AS record_id, any_value(body) AS t FROM functions GROUP BY id
