@@ -6,10 +6,12 @@ one whose minimum is the stretch's min-hash. Two equal stretches have equal mini
 that share their key. For exact spans one hash function finds every match, more would only add rows; the interval join
 of windows with equal keys needs no pairs either, as a character is shared as soon as its stretch has two owners:
 
-1. A window's key and the hash of its whole content go to one group. A content with two owners is shared altogether.
-2. Where a key has several contents, one holder of each content is cut into its stretches, and every stretch with two
-   owners is shared (the verification by interval; one row per distinct content, however many records repeat it).
-3. Shared stretches go back to all windows with their content and are merged per record.
+1. Windows whose key only one record has are left out; that is most of them.
+2. Of the rest, a window content (by hash) with two owners is shared altogether.
+3. Where a key has several contents, one holder of each content gives its characters, and every stretch of them that has
+   two owners is shared (the verification by interval; one row per distinct content, however many records repeat it).
+   Keys with up to `KEY_CONTENTS` contents are verified together; the stretches of larger keys are shuffled one by one.
+4. Shared stretches go back to all windows with their content and are merged per record.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from ..session import written
 from . import textvec as tv
 
-QGRAM = 16
+#: Longer grams than boilerplate lines keep unlike windows out of one group; at most min_len.
+QGRAM = 48
+KEY_CONTENTS = 256
 _WINDOWS = "rec long, key long, content long, first int, last int"
 
 
@@ -48,7 +52,8 @@ def _compact_windows(min_len: int):
 
     `first` and `last` are the first positions of the earliest and latest stretch in the window.
     """
-    width = min_len - QGRAM + 1
+    gram = min(QGRAM, min_len)
+    width = min_len - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,8 +62,8 @@ def _compact_windows(min_len: int):
                 if len(chars) < min_len:
                     continue
                 prefix = _prefix(chars)
-                at = np.arange(len(chars) - QGRAM + 1)
-                grams = tv.span_hashes(prefix, at, at + QGRAM)
+                at = np.arange(len(chars) - gram + 1)
+                grams = tv.span_hashes(prefix, at, at + gram)
                 place_bits = max(24, int(len(grams)).bit_length())
                 packed = (grams >> tv.U64(place_bits) << tv.U64(place_bits)) | at.astype(tv.U64)
                 pivot = (tv.sliding_minimum(packed, width) & tv.U64((1 << place_bits) - 1)).astype(np.int64)
@@ -82,30 +87,88 @@ def _compact_windows(min_len: int):
     return run
 
 
-def _stretches(min_len: int):
-    """Arrow batches (rec, text, windows) -> one row per stretch of each listed window: its place in the window and its hash."""
+def _contexts(min_len: int):
+    """Arrow batches (rec, text, windows) -> one row per listed window with the characters of all its stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             at, flat = np.asarray(lists.offsets), lists.values
-            first, last = np.asarray(flat.field("first")).astype(np.int64), np.asarray(flat.field("last")).astype(np.int64)
-            ids = {n: np.asarray(flat.field(n)) for n in ("key", "content", "low", "high")}
-            for rows, chars, offsets in _characters(batch):
-                prefix = _prefix(chars)
-                span = slice(at[rows[0]], at[rows[-1] + 1])
-                base = np.repeat(offsets[:-1], np.diff(at[rows[0] : rows[-1] + 2]))
-                counts = last[span] - first[span] + 1
-                for part in np.array_split(np.arange(len(counts)), max(1, int(counts.sum()) // tv.CHUNK)):
-                    n = counts[part]
-                    which = np.repeat(part, n)
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    begin = (base + first[span])[which] + step
-                    hashes = tv.span_hashes(prefix, begin, begin + min_len)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(ids[c][span][which]) for c in ("key", "content", "low", "high")), pa.array(step.astype(np.int32)), pa.array(hashes.view(np.int64))],
-                        ["key", "content", "low", "high", "step", "stretch"],
-                    )
+            texts = batch.column(1).to_pylist()
+            first, last = (np.asarray(flat.field(n)).tolist() for n in ("first", "last"))
+            parts = [texts[i][first[j] : last[j] + min_len] for i in range(len(texts)) for j in range(at[i], at[i + 1])]
+            kept = slice(int(at[0]), int(at[-1]))
+            columns = [flat.field(n)[kept] for n in ("key", "content", "low", "high", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(parts, pa.string())], ["key", "content", "low", "high", "n", "chars"])
+
+    return run
+
+
+def _stretch_hashes(batch: pa.RecordBatch, min_len: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, step, hash) of every stretch of the contexts in column 1."""
+    for rows, chars, offsets in _characters(batch):
+        prefix = _prefix(chars)
+        counts = np.diff(offsets) - min_len + 1
+        row = np.repeat(np.arange(len(counts)), counts)
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin = offsets[row] + step
+        yield rows[row], step, tv.span_hashes(prefix, begin, begin + min_len)
+
+
+_SHARED = "key long, content long, run_from int, run_to int"
+
+
+def _verified(min_len: int):
+    """Arrow batches (key, chars, content, low, high), sorted by key -> runs of shared stretches of contents with one owner."""
+
+    def shared(table: pa.Table) -> pa.RecordBatch:
+        batch = table.combine_chunks().to_batches()[0]
+        key, content, low, high = (np.asarray(batch.column(i)) for i in (0, 2, 3, 4))
+        parts = list(_stretch_hashes(batch, min_len))
+        row, step, stretch = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        stretch = tv.mixed(stretch + key[row].astype(np.int64).view(tv.U64) * tv._MULT)
+        _, group = np.unique(stretch, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        _, starts = tv.row_starts(group[order])
+        several = np.minimum.reduceat(low[row][order], starts) < np.maximum.reduceat(high[row][order], starts)
+        hit = several[group] & (low == high)[row]
+        row, step = row[hit], step[hit]
+        if len(row):
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)))
+        else:
+            new = np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(row))[: len(begin)] - 1
+        owner = row[begin]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[owner]), pa.array(content[owner]), pa.array(step[begin].astype(np.int32)), pa.array(step[end].astype(np.int32))], ["key", "content", "run_from", "run_to"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            keys = np.asarray(table.column(0).combine_chunks())
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            rest = table.slice(cut)
+            if cut:
+                yield shared(table.slice(0, cut))
+        if rest is not None:
+            yield shared(rest)
+
+    return run
+
+
+def _stretches(min_len: int):
+    """Arrow batches (key, chars, content, low, high) -> one row per stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, step, stretch in _stretch_hashes(batch, min_len):
+                columns = [batch.column(i).take(pa.array(row)) for i in (0, 2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(step.astype(np.int32)), pa.array(stretch.view(np.int64))], ["key", "content", "low", "high", "step", "stretch"])
 
     return run
 
@@ -128,18 +191,24 @@ def shared_spans(records: DataFrame, rec_col: str, text_col: str, min_len: int =
     """
     texts = records.select(F.col(rec_col).cast("long").alias("rec"), F.col(text_col).alias("text")).where(F.col("rec").isNotNull() & (F.length("text") >= min_len))
     windows = written(texts.mapInArrow(_compact_windows(min_len), _WINDOWS), "spans-windows")
+    several = windows.groupBy("key").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a < b").select("key")
+    windows = written(windows.join(several, "key", "left_semi"), "spans-met")
     contents = windows.groupBy("key", "content").agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.min(F.struct("rec", "first", "last")).alias("holder"))
-    contents = contents.select("key", "content", "low", "high", "holder.*")
-    keyed = contents.groupBy("key").agg(F.count("*").alias("n"), F.min("low").alias("key_low"), F.max("high").alias("key_high")).where("key_low < key_high")
-    contents = written(contents.join(keyed.select("key", "n"), "key"), "spans-contents")
+    contents = written(contents.select("key", "content", "low", "high", "holder.*"), "spans-contents")
     equal = contents.where("low < high").select("key", "content", F.lit(0).alias("run_from"), (F.col("last") - F.col("first")).alias("run_to"))
-    unclear = contents.where("n > 1")
-    held = unclear.groupBy("rec").agg(F.collect_list(F.struct("key", "content", "low", "high", "first", "last")).alias("windows"))
-    cut = texts.dropDuplicates(["rec"]).join(held, "rec").select("rec", "text", "windows").mapInArrow(_stretches(min_len), "key long, content long, low long, high long, step int, stretch long")
-    cut = written(cut, "spans-stretches")
-    owned = cut.groupBy("key", "stretch").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("key", "stretch")
-    partly = cut.where("low = high").join(owned, ["key", "stretch"], "left_semi").select("key", "content", "step").distinct()
-    shared = equal.unionByName(_runs(partly, ["key", "content"], "step"))
+    numbers = contents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = contents.join(numbers, "key").groupBy("rec").agg(F.collect_list(F.struct("key", "content", "low", "high", "n", "first", "last")).alias("windows"))
+    unclear = texts.dropDuplicates(["rec"]).join(held, "rec").select("rec", "text", "windows").mapInArrow(_contexts(min_len), "key long, content long, low long, high long, n long, chars string")
+    unclear = written(unclear, "spans-contexts").select("key", "chars", "content", "low", "high", "n")
+    few = unclear.where(F.col("n") <= KEY_CONTENTS).drop("n").repartition("key").sortWithinPartitions("key")
+    partly = few.mapInArrow(_verified(min_len), _SHARED)
+    many = unclear.where(F.col("n") > KEY_CONTENTS).drop("n")
+    if not many.isEmpty():
+        cut = written(many.mapInArrow(_stretches(min_len), "key long, content long, low long, high long, step int, stretch long"), "spans-stretches")
+        owned = cut.groupBy("key", "stretch").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("key", "stretch")
+        hits = cut.where("low = high").join(owned, ["key", "stretch"], "left_semi").select("key", "content", "step").distinct()
+        partly = partly.unionByName(_runs(hits, ["key", "content"], "step"))
+    shared = equal.unionByName(partly)
     spans = windows.join(shared, ["key", "content"]).select(
         "rec", (F.col("first") + F.col("run_from")).cast("long").alias("s"), (F.col("first") + F.col("run_to") + min_len).cast("long").alias("e")
     )
