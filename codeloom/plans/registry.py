@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus
+from . import code_graph, corpus
 
-MODULES = (corpus,)
+MODULES = (code_graph, corpus)
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
