@@ -51,7 +51,7 @@ def _offsets(text: str) -> list[tuple[int, int]]:
 def _scan(items: list[tuple[int, str]], n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _automaton(items, n)
-        for batch in batches:
+        for batch in batches if len(found) else ():
             out: list[list[int]] = [[], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 flat = " " + " ".join(words(text)) + " "
