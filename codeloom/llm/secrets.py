@@ -34,27 +34,27 @@ _ISSUED = re.compile(
     r")(?![A-Za-z0-9])"
 )
 _PRIVATE_KEY = re.compile(r"-----BEGIN (?P<kind>[A-Z ]*)PRIVATE KEY(?P<block> BLOCK)?-----(?:(?!-----BEGIN )[\s\S])*?-----END (?P=kind)PRIVATE KEY(?P=block)?-----|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----")
-_QUOTED = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)"
-_ENV = r"(?:(?:process\.env|import\.meta\.env|Deno\.env)[\w.\[\]\"'()]*\s*(?:\?\?|\|\|)\s*)?"
-_NAMED = re.compile(rf"(?P<n>[A-Za-z_$][\w$]*)[\"']?\s*(?:\?\s*)?(?::\s*[\w<>\[\], |]+?\s*=|[:=](?!=))\s*{_ENV}{_QUOTED}")
-_ENV_FALLBACK = re.compile(rf"process\.env\.(?P<n>\w+)\s*(?:\?\?|\|\|)\s*{_QUOTED}")
-_HEADER = re.compile(rf"[\"'](?P<n>[A-Za-z][\w-]*)[\"']\s*(?:\]\s*[!=]?={{1,3}}|,|:)\s*{_QUOTED}")
-_BEARER = re.compile(r"\b(?:Bearer|bearer|BEARER)\s+(?P<v>[A-Za-z0-9+/=._~\-]{12,})")
-_BASIC = re.compile(r"\b(?:Basic|basic|BASIC)\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
-_USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/@\"'`?#]*:(?P<v>[^\s/@\"'`]+)@")
-_SETTING = re.compile(r"(?:(?<=[;\"'`\s])|^)(?:password|pwd|passwd)\s*=\s*(?P<v>[^;\s\"'`]+)(?=\s*[;\"'`])", re.I)
-_DOTENV = re.compile(r"(?:^|(?<=[\n\"'`])|(?<=\\n))[ \t]*(?:export[ \t]+)?(?P<n>[A-Z][A-Z0-9_]*)=(?P<v>(?:(?!\\n)[^\s\"'`])+)", re.M)
+_QUOTED = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.){0,4000})(?P=q)"
+_ENV = r"(?:(?:process\.env|import\.meta\.env|Deno\.env)[\w.\[\]\"'()]{0,99}\s{0,40}(?:\?\?|\|\|)\s{0,40})?"
+_NAMED = re.compile(rf"(?<![\w$])(?P<n>[A-Za-z_$][\w$]{{0,80}})[\"']?\s{{0,40}}(?:\?\s{{0,40}})?(?::\s{{0,40}}[\w<>\[\], |]{{1,80}}?\s{{0,40}}=|[:=](?!=))\s{{0,40}}{_ENV}{_QUOTED}")
+_ENV_FALLBACK = re.compile(rf"process\.env\.(?P<n>\w+)\s{{0,40}}(?:\?\?|\|\|)\s{{0,40}}{_QUOTED}")
+_HEADER = re.compile(rf"[\"'](?P<n>[A-Za-z][\w-]{{0,80}})[\"']\s{{0,40}}(?:\]\s{{0,40}}[!=]?={{1,3}}|,|:)\s{{0,40}}{_QUOTED}")
+_BEARER = re.compile(r"\b(?:Bearer|bearer|BEARER)\s{1,40}(?P<v>[A-Za-z0-9+/=._~\-]{12,})")
+_BASIC = re.compile(r"\b(?:Basic|basic|BASIC)\s{1,40}(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
+_USERINFO = re.compile(r"://[^\s:/@\"'`?#]{0,200}:(?P<v>[^\s/@\"'`]{1,500})@")
+_SETTING = re.compile(r"(?:(?<=[;\"'`\s])|^)(?:password|pwd|passwd)\s{0,40}=\s{0,40}(?P<v>[^;\s\"'`]+)(?=\s{0,40}[;\"'`])", re.I)
+_DOTENV = re.compile(r"(?:^|(?<=[\n\"'`])|(?<=\\n))[ \t]{0,40}(?:export[ \t]{1,4})?(?P<n>[A-Z][A-Z0-9_]{0,80})=(?P<v>(?:(?!\\n)[^\s\"'`])+)", re.M)
 _QUERY = re.compile(r"[?&](?:api_?key|access_?token|auth_?token|token|key|secret|client_secret|password|pwd|sig|signature)=(?P<v>[^&\s\"'`#<>]+)", re.I)
-_LOGIN = re.compile(rf"\.(?:login|signIn|signin|authenticate|auth)\(\s*(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`)\s*,\s*{_QUOTED}")
-_CURL = re.compile(r"\s(?:-u|--user)[ =]+[\"']?[^\s:\"'`]+:(?P<v>[^\s\"'`]+)")
-_NOTE = re.compile(r"(?:(?<![:\w])//|/\*|^\s*\*)[^\n]*?\b(?:password|passwort|kennwort|passphrase|passwd|pass|pwd|pw|secret|token|api key|mot de passe|contraseña|clave)\b(?:\s+(?:was|is|war|ist|lautet|era|es|était|est))?\s*[:=]?\s*[\"'`]?(?P<v>[^\s\"'`]{6,})", re.I | re.M)
-_NOTE_LOGIN = re.compile(r"(?:(?<![:\w])//|/\*|^\s*\*)[^\n]*?\b(?:login|user|account|zugang|usuario|compte)\s+\S+\s*/\s*(?P<v>[^\s\"'`]{6,})", re.I | re.M)
-_NOTE_PAIR = re.compile(r"(?:(?<![:\w])//|/\*)\s*[A-Za-z][\w.]*:(?P<v>(?!//)[^\s\"'`]{6,})(?=\s)")
-
-_GOES_ON = re.compile(r"\+\s*$")
-_COMES_ON = re.compile(r"\n\s*\+\s*[\"'`]")
+_LOGIN = re.compile(rf"\.(?:login|signIn|signin|authenticate|auth)\(\s{{0,40}}(?:\"[^\"\n]{{0,200}}\"|'[^'\n]{{0,200}}'|`[^`\n]{{0,200}}`)\s{{0,40}},\s{{0,40}}{_QUOTED}")
+_CURL = re.compile(r"\s(?:-u|--user)[ =]{1,4}[\"']?[^\s:\"'`]{1,200}:(?P<v>[^\s\"'`]+)")
+_NOTE = re.compile(r"(?:(?<![:\w])//|/\*|^[ \t]{0,200}\*)[^\n]{0,300}?\b(?:password|passwort|kennwort|passphrase|passwd|pass|pwd|pw|secret|token|api key|mot de passe|contraseña|clave)\b(?:\s{1,40}(?:was|is|war|ist|lautet|era|es|était|est))?\s{0,40}[:=]?\s{0,40}[\"'`]?(?P<v>[^\s\"'`]{6,})", re.I | re.M)
+_NOTE_LOGIN = re.compile(r"(?:(?<![:\w])//|/\*|^[ \t]{0,200}\*)[^\n]{0,300}?\b(?:login|user|account|zugang|usuario|compte)\s{1,40}\S{1,80}\s{0,40}/\s{0,40}(?P<v>[^\s\"'`]{6,})", re.I | re.M)
+_NOTE_PAIR = re.compile(r"(?:(?<![:\w])//|/\*)\s{0,40}[A-Za-z][\w.]{0,80}:(?P<v>(?!//)[^\s\"'`]{6,})(?=\s)")
+
+_GOES_ON = re.compile(r"\+\s{0,40}$")
+_COMES_ON = re.compile(r"\n\s{0,80}\+\s{0,80}[\"'`]")
 _MAY_HOLD = re.compile(r"[\"'`]|//|/\*|^\s*\*|^\s*(?:export )?[A-Z][A-Z0-9_]*=|://|\s-u\s", re.M)
-_JOINT = re.compile(r"([\"'`])\s*\+\s*([\"'`])")
+_JOINT = re.compile(r"([\"'`])\s{0,80}\+\s{0,80}([\"'`])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # Words of names that hold credentials, and words that say a name holds something about them instead.
 SECRET_WORDS = {"password", "passwd", "passwort", "passphrase", "passcode", "passe", "pass", "pwd", "pw", "secret", "secrets", "token", "credential", "credentials", "kennwort", "clave", "contrasena", "apikey", "key"}
