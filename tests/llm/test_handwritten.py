@@ -13,11 +13,15 @@ def w():
     return "".join(RNG.choice("bdfgklmnprst") + RNG.choice("aeiou") for _ in range(4))
 
 
+def args():
+    return ", ".join(RNG.choice([w, lambda: f"'{w()}'", lambda: f"{w()}.{w()}", lambda: "true", lambda: str(RNG.randrange(999))])() for _ in range(RNG.randrange(1, 4)))
+
+
 def hand(n=25):
     kinds = [
-        lambda: f"  const {w()} = await {w()}({w()}, '{w()}');", lambda: f"  if (!{w()}.{w()}) {{ throw new Error('{w()} {w()}'); }}", lambda: f"  for (const {w()} of {w()}.{w()}) {{ {w()}({w()}); }}",
-        lambda: f"  {w()}.{w()} += {RNG.randrange(99)};", lambda: f"  return {{ {w()}: {w()}, {w()}: {w()}({w()}) }};", lambda: f"  logger.info('{w()} {w()}', {{ {w()}: {w()}.{w()} }});",
-        lambda: f"  const {{ {w()}, {w()} }} = {w()}.{w()} ?? {{}};", lambda: f"  setTimeout(() => {w()}({w()}, true), {RNG.randrange(999)});", lambda: f"  const {w()} = {w()}.map((x) => {w()}(x, {w()}));",
+        lambda: f"  const {w()} = await {w()}({args()});", lambda: f"  if (!{w()}.{w()}) {{ throw new Error('{w()} {w()}'); }}", lambda: f"  for (const {w()} of {w()}.{w()}) {{ {w()}({args()}); }}",
+        lambda: f"  {w()}.{w()} += {args()};", lambda: f"  return {{ {w()}: {w()}, {w()}: {w()}({args()}) }};", lambda: f"  logger.info('{w()} {w()}', {{ {w()}: {w()}.{w()} }});",
+        lambda: f"  const {{ {w()}, {w()} }} = {w()}.{w()} ?? {{}};", lambda: f"  setTimeout(() => {w()}({args()}), {RNG.randrange(999)});", lambda: f"  const {w()} = {w()}.map((x) => {w()}(x, {args()}));",
     ]
     return f"function {w()}({w()}: string): void {{\n" + "\n".join(RNG.choice(kinds)() for _ in range(n)) + "\n}"
 
