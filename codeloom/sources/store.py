@@ -1,0 +1,61 @@
+"""A versioned store of parquet tables: a commit writes a whole new version and then moves the pointer to it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+class Store:
+    """Tables under `root/v<number>/<name>`; `root/CURRENT` names the version that readers see.
+
+    Tables that a commit doesn't give are carried over by reference. A failed commit leaves the old version in place.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _read_text(self, path: str) -> str | None:
+        if not self._fs.exists(self._path(path)):
+            return None
+        return self.spark.read.text(path, wholetext=True).first()[0]
+
+    def _write_text(self, path: str, text: str) -> None:
+        target, draft = self._path(path), self._path(f"{path}.new")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        if self._fs.exists(target):
+            self._fs.delete(target, False)
+        self._fs.rename(draft, target)
+
+    def places(self) -> dict[str, str]:
+        """Table name -> folder, of the current version."""
+        text = self._read_text(f"{self.root}/CURRENT") or ""
+        return dict(line.split("\t") for line in text.split("\n")[1:] if line)
+
+    def version(self) -> int:
+        return int((self._read_text(f"{self.root}/CURRENT") or "0").split("\n")[0])
+
+    def read(self, name: str, schema: StructType | None = None) -> DataFrame:
+        place = self.places().get(name)
+        if place is None:
+            if schema is None:
+                raise KeyError(name)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.parquet(place)
+
+    def commit(self, tables: dict[str, DataFrame], sort_by: dict[str, str] | None = None) -> int:
+        """Write the tables as the next version; `sort_by` orders files so that reads by that column skip row groups."""
+        number = self.version() + 1
+        places = self.places()
+        for name, df in tables.items():
+            key = (sort_by or {}).get(name)
+            place = f"{self.root}/v{number}/{name}"
+            (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.mode("overwrite").option("compression", "zstd").parquet(place)
+            places[name] = place
+        self._write_text(f"{self.root}/CURRENT", "\n".join([str(number), *(f"{n}\t{p}" for n, p in sorted(places.items()))]))
+        return number
