@@ -139,6 +139,16 @@ def _is_basic(value: str) -> bool:
     return bool(colon and user and password) and user.isprintable() and password.isprintable() and _is_free(password)
 
 
+#: Names under which even a value of small letters alone is a password.
+_PASSWORD_NAMES = {"password", "passwd", "pwd", "pass", "passphrase", "passwort", "kennwort"}
+
+
+def _is_named(match: re.Match) -> bool:
+    if not _is_name(match["n"]):
+        return False
+    return _is_mixed(match["v"]) or (_PARTS.findall(match["n"])[-1].lower() in _PASSWORD_NAMES and bool(re.fullmatch(r"[a-z]{8,}", match["v"])) and _is_free(match["v"]))
+
+
 _PLACES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [
     (_BEARER, lambda m: _is_free(m["v"]) and _is_mixed(m["v"])),
     (_BASIC, lambda m: _is_basic(m["v"])),
@@ -151,7 +161,7 @@ _PLACES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [
     (_NOTE, lambda m: _is_mixed(m["v"])),
     (_NOTE_LOGIN, lambda m: _is_mixed(m["v"])),
     (_NOTE_PAIR, lambda m: _is_mixed(m["v"])),
-    (_NAMED, lambda m: _is_name(m["n"]) and _is_mixed(m["v"])),
+    (_NAMED, _is_named),
     (_ENV_FALLBACK, lambda m: _is_name(m["n"]) and _is_mixed(m["v"])),
     (_HEADER, lambda m: _is_name(m["n"]) and _is_mixed(m["v"])),
 ]
