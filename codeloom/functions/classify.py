@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import bare_identifier
@@ -73,6 +73,11 @@ def classified(question: Column) -> Column:
     )
 
 
+def with_classification(questions: DataFrame, question: Column, name: str = "c") -> DataFrame:
+    """`questions` with the struct of `classified`, worked out once however many of its fields are used."""
+    return questions.select("*", F.explode(F.array(classified(question))).alias(name))
+
+
 def fallback_keywords(question: Column) -> Column:
     """Words of more than three characters, for questions that neither wording nor model settles."""
     return F.filter(F.split(question, r"(?U)\s+"), lambda w: F.length(w) > 3)

@@ -277,8 +277,8 @@ def question_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, _, after = wording.partition("{}")
         words = F.concat(F.lit(before), "name", F.lit(after)) if "{}" in wording else F.lit(wording)
         case = F.when(F.col("id") % len(wordings) == i, words).otherwise(case)
-    found = classify.classified(case)
-    return names.select("id", found["strategy"].alias("strategy"), found["direction"].alias("direction"), found["function_name"].alias("function_name"), found["list_entity"].alias("list_entity"))
+    asked = names.select("id", case.alias("question"))
+    return classify.with_classification(asked, F.col("question")).select("id", "c.strategy", "c.direction", "c.function_name", "c.list_entity")
 
 
 QUERIES = {

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import activity, code_graph, corpus
+from . import activity, ask, code_graph, corpus
 
-MODULES = (code_graph, activity, corpus)
+MODULES = (code_graph, activity, ask, corpus)
 QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
