@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
 _WRITTEN: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "codeloom") -> SparkSession:
@@ -28,6 +31,20 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "codeloom")
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package along with the application, once, so that workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="codeloom-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as file:
+        for source in sorted(root.rglob("*.py")):
+            file.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +61,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Unlike `checkpoint()` this computes the plan once, not twice, and the copy outlives lost executors.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
@@ -60,4 +78,5 @@ def drop_written(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
