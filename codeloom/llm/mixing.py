@@ -45,18 +45,14 @@ def token_counts(documents: DataFrame, keep: list[Column], text_col: str, ranks_
     return rows.mapInArrow(_count_tokens(ranks_path), f"{fields}, tokens long")
 
 
-def _scaled(cells: DataFrame, column: str, targets: DataFrame) -> DataFrame:
+def _scaled(cells: DataFrame, column: str) -> DataFrame:
     """One raking step: scale the cells of each value of `column` to its target, up to the cap."""
-    mass = cells.groupBy(column).agg(
-        F.sum(F.when(F.col("weight") < F.col("cap"), F.col("weight") * F.col("tokens")).otherwise(0.0)).alias("_free"),
-        F.sum(F.when(F.col("weight") >= F.col("cap"), F.col("weight") * F.col("tokens")).otherwise(0.0)).alias("_fixed"),
-    )
-    factor = mass.join(targets.select(column, "_target"), column).select(
-        column, F.when(F.col("_free") > 0, F.greatest(F.lit(0.0), F.col("_target") - F.col("_fixed")) / F.col("_free")).otherwise(F.lit(1.0)).alias("_factor"), (F.col("_target") < F.col("_fixed")).alias("_over"), (F.col("_target") / (F.col("_fixed") + F.col("_free"))).alias("_all")
-    )
-    scale = F.when(F.col("_over"), F.col("_all")).when(F.col("weight") < F.col("cap"), F.col("_factor")).otherwise(1.0)
-    joined = cells.join(factor, column, "left").withColumn("weight", F.least(F.col("cap"), F.col("weight") * F.coalesce(scale, F.lit(1.0))))
-    return joined.select("source", "lang", "topic", "tokens", "cap", "weight")
+    w = Window.partitionBy(column)
+    mass, below, target = F.col("weight") * F.col("tokens"), F.col("weight") < F.col("cap"), F.col(f"{column}_target")
+    summed = cells.withColumns({"_free": F.sum(F.when(below, mass).otherwise(0.0)).over(w), "_fixed": F.sum(F.when(below, 0.0).otherwise(mass)).over(w)})
+    free, fixed = F.col("_free"), F.col("_fixed")
+    scale = F.when(target < fixed, target / (fixed + free)).when(below & (free > 0), (target - fixed) / free).otherwise(1.0)
+    return summed.withColumn("weight", F.least(F.col("cap"), F.col("weight") * scale)).drop("_free", "_fixed")
 
 
 def raked_weights(counted: DataFrame, targets: DataFrame, total_tokens: float | None = None, sweeps: int = 4, polish: int = 4) -> DataFrame:
@@ -71,16 +67,13 @@ def raked_weights(counted: DataFrame, targets: DataFrame, total_tokens: float |
     cells = written(cells, "mixing-cells")
     have = cells.agg(F.sum("tokens")).first()[0] or 0.0
     total = float(have if total_tokens is None else total_tokens)
-    per_source = aim.select("source", (F.coalesce("target_share", F.lit(0.0)) * total).alias("_target"))
     scale = total / have if have else 0.0
-    kept = {c: cells.groupBy(c).agg((F.sum("tokens") * scale).alias("_target")) for c in ("lang", "topic")}
-    for _ in range(sweeps):
-        for column, aims in (("topic", kept["topic"]), ("lang", kept["lang"]), ("source", per_source)):
-            cells = _scaled(cells, column, aims)
-        cells = written(cells, "mixing-sweep")
-    for _ in range(polish):
-        cells = _scaled(cells, "source", per_source)
-    return written(cells, "mixing-weights")
+    cells = cells.join(aim.select("source", (F.coalesce("target_share", F.lit(0.0)) * total).alias("source_target")), "source")
+    for column in ("lang", "topic"):
+        cells = cells.withColumn(f"{column}_target", F.sum("tokens").over(Window.partitionBy(column)) * scale)
+    for column in [*["topic", "lang", "source"] * sweeps, *["source"] * polish]:
+        cells = _scaled(cells, column)
+    return written(cells.select("source", "lang", "topic", "tokens", "cap", "weight"), "mixing-weights")
 
 
 def mixed_documents(counted: DataFrame, weights: DataFrame, seed: int = 0, per_bucket: int = 20_000) -> DataFrame:
