@@ -93,5 +93,9 @@ e AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY o, function
 
 ORACLE = {
     "ask_entries": _ENTRIES + "SELECT question_id, strategy, entry_at, function_id, name, location FROM e JOIN nm ON nm.id = function_id",
+    "ask_contexts": _ENTRIES
+    + r""", b AS (SELECT question_id, strategy, count(*) AS n, string_agg(entry_at || '. ' || name || chr(10) || '   Location: ' || location, chr(10) || chr(10) ORDER BY entry_at) AS body FROM e JOIN nm ON nm.id = function_id GROUP BY 1, 2)
+SELECT question_id, '[Context retrieved via ' || strategy || ' strategy | ' || n || ' entities]' || chr(10) || chr(10) || CASE WHEN ceil(length(body) / 4) <= 3000 THEN body
+ ELSE regexp_replace(substring(body, 1, 12000), '\n[^\n]*$', '') || chr(10) || chr(10) || '[Context truncated to fit ~3000 tokens.]' END AS context FROM b""",
     "question_cache": "SELECT item_id, answer, sha256(lower(trim(question)) || '|stub') AS key FROM eval_items QUALIFY row_number() OVER (PARTITION BY key ORDER BY item_id DESC) = 1",
 }
