@@ -1,10 +1,10 @@
 """Keyword-stuffed and link-list pages.
 
-Two kinds of evidence are joined. List density: the words of a page that stand in lines which are nothing but links,
-tags, counted labels or product entries. Phrases: a sentence is stuffed when it repeats one of the page's own repeated word
-pairs. The listed and stuffed parts of all pages, with list items and keywords replaced by their kind, are exploded into
-phrase shingles, and the distinct hosts of each (a source and package here) say how much of these parts is stitched from
-phrases replicated elsewhere. Pages without such parts have nothing to explode.
+Three kinds of evidence are joined. List density: the words of a page that stand in lines which are nothing but links,
+tags, counted labels or product entries. Stuffing: a sentence is stuffed when it repeats one of the page's own repeated word
+pairs. Phrases: the whole texts of all pages are exploded into phrase shingles, and the hosts of each (a source and package
+here) say how much of a page is copied from other hosts and how much of that one other page alone could have given; the
+listed and stuffed parts, with list items and keywords replaced by their kind, are compared in the same way.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,29 +119,145 @@ def _pages(k: int):
     return run
 
 
+#: Slots that the pages which hold a page's copied phrases are counted in, three to a long.
+SLOTS = 9
+_BLOCKS = "bucket int, block long, phrases binary, pages binary, hosts binary"
+_COPIED = "block long, page int, doc_id long, n_phrases long, copied long, s0 long, s1 long, s2 long"
+
+
+def _text_phrases(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every distinct k-word phrase of each whole text."""
+    known: dict[str, int] = {}
+    flat: list[int] = []
+    sizes: list[int] = []
+    for text in texts:
+        words = _WORD.findall(text.lower()) if text else []
+        sizes.append(len(words))
+        flat.extend(known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words)
+    grams, rows = tv.shingles(np.array(flat, tv.U64), np.repeat(np.arange(len(sizes)), sizes), k)
+    order = np.lexsort((grams, rows))
+    grams, rows = grams[order], rows[order]
+    if len(rows):
+        new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])))
+        grams, rows = grams[new], rows[new]
+    return grams, rows
+
+
+def _blocks(k: int, buckets: int):
+    """Arrow batches (doc_id, host, text) -> the phrases of whole texts, packed: one row per block of pages and bucket.
+
+    An entry has the lower 48 bits of the phrase (the upper 16 give the bucket) as byte planes, which compress as they are
+    sorted, the page's place in its block and 24 bits of the host. A row of a negative bucket has a block's ids and numbers of phrases.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                grams, rows = _text_phrases(part.column(2).to_pylist(), k)
+                sizes = np.bincount(rows, minlength=part.num_rows).astype(np.int64)
+                bucket = (grams >> tv.U64(48)).astype(np.int64) % buckets
+                order = np.lexsort((grams & tv.U64((1 << 48) - 1), bucket))
+                grams, rows, bucket = grams[order], rows[order], bucket[order]
+                names, at = tv.row_starts(bucket)
+                ends = np.append(at[1:], len(bucket))
+                phrases = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :6]
+                hosts = part.column(1).to_numpy()[rows].view(np.uint8).reshape(-1, 8)[:, :3]
+                pages = rows.astype(np.uint16).view(np.uint8).reshape(-1, 2)
+                packed = [[np.ascontiguousarray(x[a:b].T).tobytes() for a, b in zip(at, ends)] for x in (phrases, pages, hosts)]
+                known = [part.column(0).to_numpy().tobytes(), sizes.tobytes(), b""]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*names.tolist(), -1 - block % buckets], pa.int32()), pa.array([block] * (len(names) + 1), pa.int64()), *(pa.array([*x, y], pa.binary()) for x, y in zip(packed, known))],
+                    [c.split()[0] for c in _BLOCKS.split(", ")],
+                )
+                block += 1
+
+    return run
+
+
+def _planes(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The entries of all packed rows as integers of `width` bytes."""
+    parts = [np.frombuffer(x, np.uint8).reshape(width, -1).T for x in column.to_pylist()]
+    out = np.zeros((sum(map(len, parts)), 8), np.uint8)
+    out[:, :width] = np.concatenate(parts)
+    return out.view(tv.U64)[:, 0]
+
+
+def _copied(key: tuple, blocks: pa.Table) -> pa.Table:
+    """The packed phrases of one bucket -> per page, those that another host has, counted by the page that has them."""
+    names = [c.split()[0] for c in _COPIED.split(", ")]
+    at = blocks.column("block").to_numpy()
+    if key[0].as_py() < 0:
+        ids, sizes = ([np.frombuffer(x, np.int64) for x in blocks.column(c).to_pylist()] for c in ("phrases", "pages"))
+        n = [len(x) for x in ids]
+        none = np.zeros(sum(n), np.int64)
+        return pa.table([np.repeat(at, n), np.concatenate([np.arange(x, dtype=np.int32) for x in n]), np.concatenate(ids), np.concatenate(sizes), none, none, none, none], names=names)
+    n = [len(x) // 2 for x in blocks.column("pages").to_pylist()]
+    grams, hosts = _planes(blocks.column("phrases"), 6), _planes(blocks.column("hosts"), 3).astype(np.uint32)
+    number = np.repeat(np.arange(len(n)), n) << 16 | _planes(blocks.column("pages"), 2).astype(np.int64)
+    order = np.lexsort((hosts, grams))
+    grams, number, hosts = grams[order], number[order], hosts[order]
+    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+    sizes = np.diff(np.append(first, len(grams)))
+    low, high = np.repeat(first, sizes), np.repeat(first + sizes - 1, sizes)
+    other = np.where(hosts[low] != hosts, low, high)  # an entry of another host, if the phrase has one
+    hit = hosts[other] != hosts
+    giver = number[other[hit]]
+    slot = (tv.mixed(at[giver >> 16].astype(tv.U64) * tv.U64(65537) + (giver & 65535).astype(tv.U64)) % tv.U64(SLOTS)).astype(np.int64)
+    pages, back = np.unique(number[hit], return_inverse=True)
+    slots = np.bincount(back * SLOTS + slot, minlength=len(pages) * SLOTS).reshape(-1, SLOTS).astype(np.int64)
+    packed = [slots[:, 3 * i] | slots[:, 3 * i + 1] << 21 | slots[:, 3 * i + 2] << 42 for i in range(3)]
+    empty = pa.nulls(len(pages), pa.int64())
+    return pa.table([pa.array(at[pages >> 16]), pa.array((pages & 65535).astype(np.int32)), empty, empty, pa.array(slots.sum(axis=1)), *map(pa.array, packed)], names=names)
+
+
+def copied_phrases(pages: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_phrases, copied_share, one_source_share) for (doc_id, host, text).
+
+    copied_share is the part of the distinct k-word phrases of the whole text that another host has too. one_source_share is
+    the largest part of these that falls to one slot of the pages that have them: near 1 for a mirror of one page.
+    """
+    buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = pages.select("doc_id", "host", "text").mapInArrow(_blocks(k, buckets), _BLOCKS)
+    counted = blocks.groupBy("bucket").applyInArrow(_copied, _COPIED).groupBy("block", "page")
+    counted = counted.agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_phrases", "copied", "s0", "s1", "s2")])
+    counted = counted.where("n_phrases > 0").dropDuplicates(["doc_id"])
+    most = F.greatest(*[F.shiftright(f"s{i}", b).bitwiseAND((1 << 21) - 1) for i in range(3) for b in (0, 21, 42)])
+    return counted.select("doc_id", "n_phrases", (F.col("copied") / F.col("n_phrases")).alias("copied_share"), F.coalesce(F.try_divide(most, F.col("copied")), F.lit(0.0)).alias("one_source_share"))
+
+
 def page_spam_evidence(documents: DataFrame, id_col: str, text_col: str, host_cols: list[str], k: int = 5, min_items: int = 10) -> DataFrame:
-    """(doc_id, n_words, spam_words, replicated_share): evidence for every page with words.
+    """(doc_id, n_words, spam_words, replicated_share, n_phrases, copied_share, one_source_share): evidence for every page with words.
 
     spam_words are the words of stuffed sentences and, on pages with at least `min_items` list items, of list lines (fewer
     items are what an ordinary page ends in). replicated_share is the part of the distinct k-word phrases of the
-    page's listed and stuffed parts that are also found on another host. A repeated id is one page; null and empty texts
-    have no evidence; an empty table gives an empty result; other columns are ignored.
+    page's listed and stuffed parts that are also found on another host; the last three are those of `copied_phrases` over
+    whole texts. A repeated id is one page; null and empty texts have no evidence; an empty table gives an empty result; other
+    columns are ignored.
     """
     pages = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*[F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")) for c in host_cols]).alias("host"), F.col(text_col).alias("text"))
     pages = pages.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    copied = copied_phrases(pages, k)
     pages = written(pages.mapInArrow(_pages(k), _PAGES).where("n_words > 0"), "spam-pages")
     spam = F.col("stuffed_words") + F.when(F.col("list_items") >= min_items, F.col("list_words")).otherwise(0)
     scored = pages.select("doc_id", "n_words", spam.alias("spam_words"), "phrases").dropDuplicates(["doc_id"])
     elsewhere = pages.select("host", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.min("host").alias("a"), F.max("host").alias("b")).where("a <> b").select("phrase")
     suspects = scored.where("spam_words > 0").select("doc_id", F.size("phrases").alias("n"), F.explode("phrases").alias("phrase"))
     shares = suspects.join(elsewhere, "phrase").groupBy("doc_id").agg((F.count("*") / F.first("n")).alias("replicated_share"))
-    return scored.drop("phrases").join(shares, "doc_id", "left").withColumn("replicated_share", F.coalesce("replicated_share", F.lit(0.0)))
+    known = scored.drop("phrases").join(shares, "doc_id", "left").join(copied, "doc_id", "left")
+    return known.na.fill(0.0, ["replicated_share", "copied_share", "one_source_share"]).na.fill(0, ["n_phrases"])
 
 
-def spam_pages(evidence: DataFrame, min_share: float = 0.5, min_replicated: float = 0.25, clear_share: float = 0.7) -> DataFrame:
-    """Pages most of whose words are list items or stuffed sentences, joined with their phrases being replicated elsewhere.
+def spam_pages(
+    evidence: DataFrame, min_share: float = 0.5, min_replicated: float = 0.25, clear_share: float = 0.7, min_copied: float = 0.9, max_one_source: float = 0.4, min_phrases: int = 50
+) -> DataFrame:
+    """Pages most of whose words are list items or stuffed sentences, joined with their phrases being replicated elsewhere, and
+    pages stitched from phrases of several pages of other hosts.
 
-    From `clear_share` on the words alone decide: a page may be the first of its kind in the collection.
+    From `clear_share` on the words alone decide: a page may be the first of its kind in the collection. Copied phrases alone
+    decide from `min_copied` on, unless one page alone may have given most of them: then the page is a mirror.
     """
     share = F.col("spam_words") / F.col("n_words")
-    return evidence.where((share > min_share) & ((F.col("replicated_share") >= min_replicated) | (share >= clear_share)))
+    stitched = (F.col("n_phrases") >= min_phrases) & (F.col("copied_share") >= min_copied) & (F.col("one_source_share") <= max_one_source)
+    return evidence.where(((share > min_share) & ((F.col("replicated_share") >= min_replicated) | (share >= clear_share))) | stitched)

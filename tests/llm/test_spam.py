@@ -53,3 +53,17 @@ def test_long_text_and_empty_table(spark):
 def test_phrases_are_only_those_of_listed_and_stuffed_parts():
     words, listed, items, stuffed, tokens = page_evidence("Some plain prose here.\nhttps://a.test/x\nhttps://b.test/y")
     assert (listed, items, stuffed, tokens) == (8, 2, 0, ["<link>", "<link>"]) and words == 12
+
+
+def test_stitched_pages_are_found_and_mirrors_are_not(spark):
+    rng = random.Random(3)
+    passages = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(8)]
+    own = [" ".join(f"w{rng.randrange(9000)}" for _ in range(90)) for _ in range(9)]
+    rows = [(i, f"{p} {own[i]}", f"host{i}") for i, p in enumerate(passages)] + [(20, " ".join(passages), "stitched"), (30, own[8], "a"), (31, own[8], "b"), (40, None, "a"), (41, "one word", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    evidence = page_spam_evidence(df.union(df.limit(1)), "doc_id", "text", ["source"])
+    assert [r.doc_id for r in spam_pages(evidence).collect()] == [20]
+    seen = {r.doc_id: r for r in evidence.collect()}
+    assert seen[20].n_phrases == 476 and seen[20].copied_share == 8 * 56 / 476
+    assert seen[30].copied_share == seen[31].copied_share == seen[30].one_source_share == 1.0 and seen[0].copied_share == 56 / 146
+    assert seen[41].n_phrases == 0 and seen[41].copied_share == 0.0
