@@ -1,6 +1,7 @@
 """Credentials embedded in source code: located exactly, validated, and replaced by placeholders.
 
-A keyword automaton picks the texts that may hold a credential. On those, issuer formats and the places where credentials
+A keyword automaton picks the lines of a body that may hold a credential; places whose name and value may stand on several
+lines, and pairs in comments, are looked for in whole bodies. There, issuer formats and the places where credentials
 stand (named values, headers, connection strings, addresses, logins, settings files, comments) give candidate spans,
 which are kept when their structure holds: a JWT's header is JSON, basic authentication decodes to user and password, a
 named value has the composition of a secret and not of a label, a placeholder, a hash or an identifier. Values that are
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 # What the automaton looks for, in lower case.
 KEYWORDS = [
-    "-----begin", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "sk_test_", "xoxb-", "xoxp-", "xoxa-", "aiza", "akia", "eyj",
-    "pass", "pwd", "pw=", "_pw", "pw:", "secret", "token", "key", "kennwort", "clave", "contrase", "credential", "bearer ", "basic ", "://", "login", "curl ", "auth", "until",
+    "-----begin", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "pk_live_", "sk_test_", "rk_test_", "pk_test_",
+    "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "aiza", "akia", "asia", "eyj", "pass", "pw", "sig=", "signature=", " -u", "--user", "signin", "secret", "token", "key", "kennwort", "clave", "contrase", "credential", "bearer ", "basic ", "://", "login", "curl ", "auth", "until",
 ]
 
 _ISSUED = re.compile(
@@ -177,14 +178,50 @@ def _spans(text: str, lead: str = "") -> list[tuple[int, int]]:
     return [(_place(a - len(lead), cuts), _place(b - 1 - len(lead), cuts) + 1) for a, b in set(found) if a >= len(lead)]
 
 
-def _parts(text: str, words: ahocorasick.Automaton) -> tuple[bool, list[tuple[int, int]]]:
-    """Whether there may be a private key, and the ranges of the lines that may hold another credential."""
+_DAY_OR_ISSUE = re.compile(r"\d{4}-\d\d-\d\d.*|[A-Z]+-\d+|.*[/\\#@].*")
+
+
+def _is_strong(value: str) -> bool:
+    """Mixed so clearly that no other word needs to say it is a credential."""
+    return _is_mixed(value) and all(re.search(c, value) for c in ("[a-z]", "[A-Z]", r"\d")) and not _DAY_OR_ISSUE.fullmatch(value)
+
+
+def _on_lines(match: re.Match) -> bool:
+    """Whether the value belongs to the name although they may stand on different lines: no line ends before a `=` after a type."""
+    return not re.match(r"[^=]*\n[^=]*=", match.string[match.end("n") : match.start("v")])
+
+
+#: Places that may go on over several lines.
+_BODY_PLACES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [
+    (_LOGIN, lambda m: _is_mixed(m["v"])),
+    (_NAMED, lambda m: _is_named(m) and _on_lines(m)),
+    (_ENV_FALLBACK, lambda m: _is_name(m["n"]) and _is_mixed(m["v"])),
+    (_HEADER, lambda m: _is_name(m["n"]) and _is_mixed(m["v"])),
+]
+#: Comments that no keyword announces; each is on one line.
+_NOTE_PLACES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [
+    (_NOTE_LOGIN, lambda m: _is_mixed(m["v"]) and "\n" not in m[0]),
+    (_NOTE_PAIR, lambda m: _is_strong(m["v"]) and "\n" not in m[0]),
+]
+
+
+def _body_spans(text: str, named: bool) -> list[tuple[int, int]]:
+    """(start, end) of the credentials whose place may go on over lines, and of those in comments without a keyword."""
+    places = (_BODY_PLACES if named else []) + (_NOTE_PLACES if "//" in text or "*" in text else [])
+    flat, cuts = _joined(text) if places else ("", [])
+    found = {m.span("v") for pattern, holds in places for m in pattern.finditer(flat) if holds(m)}
+    return [(_place(a, cuts), _place(b - 1, cuts) + 1) for a, b in found]
+
+
+def _parts(text: str, words: ahocorasick.Automaton) -> tuple[bool, bool, list[tuple[int, int]]]:
+    """Whether there is a keyword, whether there may be a private key, and the ranges of the lines that may hold another credential."""
     low = text.lower()
     if len(low) != len(text):
-        return True, [(0, len(text))]
+        return True, True, [(0, len(text))]
     ranges: list[tuple[int, int]] = []
-    key, last = False, 0
+    met, key, last = False, False, 0
     for at, word in words.iter(low):
+        met = True
         key = key or word == "-----begin"
         if at < last:
             continue
@@ -199,7 +236,7 @@ def _parts(text: str, words: ahocorasick.Automaton) -> tuple[bool, list[tuple[in
         last = end
         if _MAY_HOLD.search(text, start, end):
             ranges.append((start, end))
-    return key, ranges
+    return met, key, ranges
 
 
 def secret_spans(text: str, name: str = "", words: ahocorasick.Automaton | None = None) -> list[tuple[int, int]]:
@@ -208,9 +245,11 @@ def secret_spans(text: str, name: str = "", words: ahocorasick.Automaton | None
         keys = [m.span() for m in _PRIVATE_KEY.finditer(text)]
         found = _spans(text, f"{name} = ")
     else:
-        key, ranges = _parts(text, words or _automaton())
+        met, key, ranges = _parts(text, words or _automaton())
         keys = [m.span() for m in _PRIVATE_KEY.finditer(text)] if key else []
         found = [(low + a, low + b) for low, high in ranges for a, b in _spans(text[low:high])]
+        if ranges != [(0, len(text))]:
+            found += _body_spans(text, met)
     kept = list(keys)
     for span in sorted(set(found), key=lambda s: (s[1] - s[0], s)):  # of overlapping ones the tightest
         if all(span[1] <= k[0] or span[0] >= k[1] for k in kept):
@@ -248,7 +287,7 @@ def _find(redact: bool):
             sizes: list[int] = []
             texts: list[str] = []
             for rec, name, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                spans = secret_spans(text, name, words) if not name or next(words.iter(f"{name} {text}".lower()), None) else []
+                spans = secret_spans(text, name, words)
                 if redact:
                     ids.append(rec)
                     texts.append(redacted(text, spans))

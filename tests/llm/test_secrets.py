@@ -68,3 +68,31 @@ def test_rows_and_edge_cases(spark):
     out = {r.id: r.text for r in redact_secrets(df, "id", "text", "name").collect()}
     assert out[4] == "'" + re.sub("[1-9]", "0", re.sub("[a-z]", "x", re.sub("[A-Z]", "X", GH))) + "'" and out[2] == ""
     assert find_secrets(df.limit(0), "id", "text").count() == 0
+
+
+A20 = "aB3dE6gH9jkL1mN2pQ4r"
+CUT_OFF = [
+    ('const apiKey =\n  "kFscaYJCI0fD04xntLj";', "kFscaYJCI0fD04xntLj"),
+    ("open({\n  password:\n    'Riko-1020broyark',\n})", "Riko-1020broyark"),
+    ("await db.login(\n  'flower',\n  'teplom.Selit.948',\n)", "teplom.Selit.948"),
+    ("await db.signIn(\n  'flower',\n  'teplom.Selit.948',\n)", "teplom.Selit.948"),
+    ("headers = {\n  'X-Hub-Secret':\n    'C99dISmxwM',\n}", "C99dISmxwM"),
+    ("const k = process.env.DIJ_SECRET ||\n  'rdebeFvqoRfwiTs2unB0w';", "rdebeFvqoRfwiTs2unB0w"),
+    ("let v = 1;\n// flower:Tepl0mSelit was used\nreturn v;", "Tepl0mSelit"),
+    ("let v = 1;\n// zugang flower / Tepl0mSelit\nreturn v;", "Tepl0mSelit"),
+    ("run(`wget --user yeno:beplom.Tizar.110 x`)", "beplom.Tizar.110"),
+    ("get('a.example/v1?sig=kFscaYJCI0fD04xntLj')", "kFscaYJCI0fD04xntLj"),
+    *((f"const x = '{v}';", v) for v in ("ghr_" + A20 + A20[:16], "ASIA" + "AB12CD34EF56GH78", "pk_live_" + A20 + "abcd", "pk_test_" + A20 + "abcd", "rk_test_" + A20 + "abcd", "xoxr-12345678-12345678-" + A20, "xoxs-12345678-12345678-" + A20)),
+]
+KEPT = ["// ref:JIRA-1234 is open\nf();", "// at:2024-01-01T10:00Z sharp\nf();", "switch (x) {\n  case key:\n    name = 'Abc123xyz';\n}", "// the token\nloadUser2Name;\n", "const token = load(\n  'Abc123xyz',\n);"]
+
+
+@pytest.mark.parametrize(("text", "value"), CUT_OFF)
+def test_places_over_several_lines_and_every_issuer(text, value):
+    body = f"function f() {{\n{text}\n}}"
+    assert [body[a : a + n] for a, n in secret_spans(body)] == [value]
+
+
+@pytest.mark.parametrize("text", KEPT)
+def test_other_lines_are_left(text):
+    assert secret_spans(f"function f() {{\n{text}\n}}") == []
