@@ -4,8 +4,9 @@ Three kinds of evidence, each kept per file:
 
 * the path and the leading comment (vendor and build folders, generator and licence notices);
 * an inverted index of line hashes: lines that third-party files hold make their edited copies known in other packages,
-  by the exact part of a file's lines that such lines are. A line counts as third-party only while a tenth or more of its
-  holders are, so boilerplate that ordinary code shares with a library doesn't;
+  by the exact part of a file's lines that such lines are, while a tenth or more of a line's holders are third-party; and the
+  exact part of a file's lines that one other file has, be this file third-party, in any package and with any number of
+  unmarked copies, or an unmarked one that is found again in several packages;
 * token composition: identifier length, digits, `var` against `const` and `let`, and how few line shapes fill the file.
 """
 
@@ -59,7 +60,7 @@ def _hash(text: str) -> int:
 def function_facts(body: str) -> tuple:
     """The columns of `_FACTS` after id and file_id for one function body."""
     leading = _LEADING.match(body)
-    notice = leading.group(0)[:600] if leading else ""
+    notice = leading.group(0) if leading else ""
     names = _IDENTIFIER.findall(body)
     code = _COMMENT.sub(" ", body)
     shaped = _NAME.sub("I", _NUMBER.sub("N", _STRING.sub("S", code)))
@@ -95,10 +96,37 @@ def _has_folder(path: Column, folders: list[str]) -> Column:
     return F.arrays_overlap(F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0))), F.array(*[F.lit(f) for f in folders]))
 
 
+#: Files that a line is compared with at most, the least by hash; as all lines of a library take the same ones, its copies meet there.
+SOURCES = 16
+
+
+def _copies(held: DataFrame, least_hits: int = 5, least_copied: int = 10, copied_share: float = 0.8, least_packages: int = 3) -> DataFrame:
+    """(path, in_one, spread) for (path, package, line, third_party): how third-party or widely copied single files hold a file.
+
+    in_one is the largest part of an unmarked file's distinct lines that one third-party file has. spread says that most lines of
+    a file are those of one unmarked file whose copies lie in `least_packages` packages or more.
+    """
+    held = held.distinct()
+    lines = held.groupBy("line").agg(F.count("*").alias("holders"), F.count_if("third_party").alias("theirs"), F.min("package").alias("first"), F.max("package").alias("last"))
+    lines = lines.select("line", (F.expr("theirs > 0 AND holders > theirs")).alias("of_theirs"), F.expr("holders - theirs >= 3 AND first <> last").alias("wide")).where("of_theirs OR wide")
+    shared = written(held.join(lines, "line"), "handwritten-shared")
+    least = Window.partitionBy("line").orderBy(F.xxhash64("path"), "path")
+    sources = lambda some: shared.where(some).select("line", F.col("path").alias("source"), F.row_number().over(least).alias("place")).where(F.col("place") <= SOURCES).drop("place")
+    own = shared.where("NOT third_party")
+    sizes = held.where("NOT third_party").groupBy("path").agg(F.count("*").alias("n"))
+    hits = lambda some: own.join(sources(some), "line").groupBy("path", "package", "source").agg(F.count("*").alias("hits")).join(sizes, "path")
+    one = hits("third_party AND of_theirs").where(F.col("hits") >= least_hits).groupBy("path").agg(F.max(F.col("hits") / F.col("n")).alias("in_one"))
+    alike = hits("NOT third_party AND wide").where((F.col("hits") >= least_copied) & (F.col("hits") >= copied_share * F.col("n")) & ~F.startswith("path", F.lit("\u0000")))
+    wide = alike.groupBy("source").agg(F.count_distinct("package").alias("packages")).where(F.col("packages") >= least_packages)
+    spread = alike.join(wide, "source").select("path").distinct().withColumn("spread", F.lit(True))
+    return one.join(spread, "path", "full")
+
+
 def file_evidence(files: DataFrame, functions: DataFrame) -> DataFrame:
-    """(file_id, path, third_party, generated, minified, data, contained): evidence per row of files.
+    """(file_id, path, third_party, generated, minified, data, contained, spread): evidence per row of files.
 
-    `contained` is the part of a file's distinctive lines that third-party files of other packages hold. Rows of files that
+    `contained` is the part of a file's distinctive lines that third-party files of other packages, or any one third-party
+    file, hold; `spread` says that an unmarked file has copies in several packages. Rows of files that
     are spellings of one path share the evidence of all their functions. A function id delivered twice counts once; functions
     of unknown files are ignored; files without functions are judged by their path; null paths have no evidence from it; null
     and empty bodies have none; empty tables give an empty result; other columns are ignored.
@@ -138,8 +166,9 @@ def file_evidence(files: DataFrame, functions: DataFrame) -> DataFrame:
     own = held.where("NOT third_party")
     hits = own.join(theirs, "line").where("package <> first OR package <> last").groupBy("path").agg(F.count("*").alias("hits"))
     contained = own.groupBy("path").agg(F.count("*").alias("n_lines")).join(hits, "path").select("path", (F.col("hits") / F.col("n_lines")).alias("contained"))
-    return named.select("file_id", "path").join(known, "path").join(contained, "path", "left").withColumn("contained", F.coalesce("contained", F.lit(0.0)))
+    found = named.select("file_id", "path").join(known, "path").join(contained, "path", "left").join(_copies(held), "path", "left")
+    return found.withColumns({"contained": F.coalesce(F.greatest("contained", "in_one"), F.lit(0.0)), "spread": F.coalesce("spread", F.lit(False))}).drop("in_one")
 
 
 def not_handwritten(evidence: DataFrame, min_contained: float = 0.5) -> DataFrame:
-    return evidence.where(F.col("third_party") | F.col("generated") | F.col("minified") | F.col("data") | (F.col("contained") >= min_contained))
+    return evidence.where(F.col("third_party") | F.col("generated") | F.col("minified") | F.col("data") | (F.col("contained") >= min_contained) | F.col("spread"))

@@ -93,3 +93,17 @@ def test_normal_path(spark, raw, clean):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(normal_path(F.lit(raw)).alias("p")).first().p == clean
+
+
+def test_hot_copies_same_package_and_unmarked_copies(spark):
+    lib, other, plain = hand(60), hand(60), hand(40)
+    edited = lambda body, i: body + f"\n  const change{i} = helper{i}(thing, other, andMore{i});"
+    bodies = {"packages/a/node_modules/lib/a.js": lib, "packages/a/src/copy.js": edited(lib, 99)}
+    bodies |= {f"packages/h{i}/src/copy.js": edited(lib, i) for i in range(15)} | {f"packages/u{i}/src/other.js": edited(other, i) for i in range(4)}
+    bad = len(bodies)
+    bodies |= {"packages/p/src/a.ts": plain, "packages/p/src/b.ts": edited(plain, 1), "packages/q/src/a.ts": plain + hand(40), "packages/r/src/c.ts": hand(30)}
+    late = "/*" + " words of our own." * 60 + "\n * @generated by foo\n */\n"
+    bodies = dict([("packages/l/src/late.ts", late + hand(5)), *bodies.items()])
+    files = spark.createDataFrame([(i, p, "h") for i, p in enumerate(bodies)], "id long, path string, content_hash string")
+    functions = spark.createDataFrame([(i, i, b) for i, b in enumerate(bodies.values())], "id long, file_id long, body string")
+    assert sorted(r.file_id for r in not_handwritten(file_evidence(files, functions)).collect()) == list(range(bad + 1))
