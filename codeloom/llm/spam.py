@@ -54,20 +54,24 @@ def _items(line: str) -> list[str]:
     return []
 
 
-def _keyword_pairs(words: list[str]) -> set[tuple[str, str]]:
-    """Word pairs that the page repeats so often that they may be its keywords."""
-    least = max(4, len(words) // 50)
-    return {p for p, n in Counter(zip(words, words[1:])).items() if n >= least}
+def _keyword_pairs(words: list[str]) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
+    """Word pairs that the page repeats so often that they may be its keywords, and those that alone are a third of its words.
+
+    The first bar is the same for pages of any length.
+    """
+    counts = {p: n for p, n in Counter(zip(words, words[1:])).items() if n >= 4}
+    return set(counts), {p for p, n in counts.items() if 6 * n >= len(words) and p[0].isalpha() and p[1].isalpha() and p[0] != p[1]}
 
 
 def page_evidence(text: str) -> tuple[int, int, int, int, list[str]]:
     """(words, words in list lines, list items, words in stuffed sentences, tokens) of one page.
 
-    A sentence is stuffed when it holds one of the page's repeated word pairs twice or more. The tokens are the page's list
+    A sentence is stuffed when it holds one of the page's repeated word pairs twice or more, or one that alone is a third of
+    the page's words. The tokens are the page's list
     items, replaced by their kind, and stuffed sentences, with keywords replaced by `<key>`: the phrases such pages share.
     """
     words = _WORD.findall(text.lower())
-    pairs = _keyword_pairs(words)
+    pairs, dense = _keyword_pairs(words)
     n_list = n_items = stuffed = 0
     tokens: list[str] = []
     for line in text.split("\n"):
@@ -81,7 +85,7 @@ def page_evidence(text: str) -> tuple[int, int, int, int, list[str]]:
         for sentence in _SENTENCE.findall(line.lower()) if pairs else ():
             w = _WORD.findall(sentence)
             inside = Counter(p for p in zip(w, w[1:]) if p in pairs)
-            keys = {p for p, n in inside.items() if n > 1}
+            keys = {p for p, n in inside.items() if n > 1 or p in dense}
             if keys:
                 stuffed += len(w)
                 hidden = {x for p in keys for x in p}
@@ -218,7 +222,7 @@ def copied_phrases(pages: DataFrame, k: int) -> DataFrame:
     copied_share is the part of the distinct k-word phrases of the whole text that another host has too. one_source_share is
     the largest part of these that falls to one slot of the pages that have them: near 1 for a mirror of one page.
     """
-    buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # several, so that tasks get even parts
     blocks = pages.select("doc_id", "host", "text").mapInArrow(_blocks(k, buckets), _BLOCKS)
     counted = blocks.groupBy("bucket").applyInArrow(_copied, _COPIED).groupBy("block", "page")
     counted = counted.agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_phrases", "copied", "s0", "s1", "s2")])
@@ -227,11 +231,11 @@ def copied_phrases(pages: DataFrame, k: int) -> DataFrame:
     return counted.select("doc_id", "n_phrases", (F.col("copied") / F.col("n_phrases")).alias("copied_share"), F.coalesce(F.try_divide(most, F.col("copied")), F.lit(0.0)).alias("one_source_share"))
 
 
-def page_spam_evidence(documents: DataFrame, id_col: str, text_col: str, host_cols: list[str], k: int = 5, min_items: int = 10) -> DataFrame:
+def page_spam_evidence(documents: DataFrame, id_col: str, text_col: str, host_cols: list[str], k: int = 5, min_items: int = 10, only_list: float = 0.8) -> DataFrame:
     """(doc_id, n_words, spam_words, replicated_share, n_phrases, copied_share, one_source_share): evidence for every page with words.
 
-    spam_words are the words of stuffed sentences and, on pages with at least `min_items` list items, of list lines (fewer
-    items are what an ordinary page ends in). replicated_share is the part of the distinct k-word phrases of the
+    spam_words are the words of stuffed sentences and of list lines; lists of fewer than `min_items` items count when they are
+    `only_list` of the page's words, as an ordinary short page may end in links that are more than half of its words. replicated_share is the part of the distinct k-word phrases of the
     page's listed and stuffed parts that are also found on another host; the last three are those of `copied_phrases` over
     whole texts. A repeated id is one page; null and empty texts have no evidence; an empty table gives an empty result; other
     columns are ignored.
@@ -240,7 +244,7 @@ def page_spam_evidence(documents: DataFrame, id_col: str, text_col: str, host_co
     pages = pages.where("doc_id IS NOT NULL AND text IS NOT NULL")
     copied = copied_phrases(pages, k)
     pages = written(pages.mapInArrow(_pages(k), _PAGES).where("n_words > 0"), "spam-pages")
-    spam = F.col("stuffed_words") + F.when(F.col("list_items") >= min_items, F.col("list_words")).otherwise(0)
+    spam = F.col("stuffed_words") + F.when((F.col("list_items") >= min_items) | (F.col("list_words") >= only_list * F.col("n_words")), F.col("list_words")).otherwise(0)
     scored = pages.select("doc_id", "n_words", spam.alias("spam_words"), "phrases").dropDuplicates(["doc_id"])
     elsewhere = pages.select("host", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.min("host").alias("a"), F.max("host").alias("b")).where("a <> b").select("phrase")
     suspects = scored.where("spam_words > 0").select("doc_id", F.size("phrases").alias("n"), F.explode("phrases").alias("phrase"))

@@ -67,3 +67,16 @@ def test_stitched_pages_are_found_and_mirrors_are_not(spark):
     assert seen[20].n_phrases == 476 and seen[20].copied_share == 8 * 56 / 476
     assert seen[30].copied_share == seen[31].copied_share == seen[30].one_source_share == 1.0 and seen[0].copied_share == 56 / 146
     assert seen[41].n_phrases == 0 and seen[41].copied_share == 0.0
+
+
+def test_short_lists_and_stuffing_of_any_length(spark):
+    many = [f"{a} {b}" for a in ("red", "blue", "green", "warm", "soft", "wide", "slim", "new") for b in ("shoes", "boots", "socks", "hats", "coats", "belts", "bags", "rings", "gloves")]
+    bad = [
+        "\n".join(f"https://h{i}.test/a.html" for i in range(6)),
+        "\n".join(f"ABC-{i} Cold index free {i},99 EUR cheap" for i in range(5)),
+        " ".join(f"Buy {k} and more {k} here." for k in many for _ in range(3)),
+        "Buy cheap shoes online. Cheap shoes here. The best cheap shoes. Get cheap shoes now. Cheap shoes for all. More cheap shoes.",
+    ]
+    fine = ["The cache of this module is cleared before each run.\nIt is filled again by the first reader.\n" + "\n".join(f"- [part {i}](https://x{i}.example/a/b)" for i in range(3))]
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(bad + fine)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in spam_pages(page_spam_evidence(df, "doc_id", "text", ["source"])).collect()) == list(range(len(bad)))
