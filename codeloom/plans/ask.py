@@ -10,8 +10,6 @@ from ..operators import graph, search, tables
 from ..session import table
 from .activity import fitted
 
-#: Entries that a context of 3000 tokens can hold at most, as an entry has 60 characters or more.
-MOST_ENTRIES = 200
 BUDGET = 3000
 
 
@@ -37,7 +35,7 @@ def retrieved(questions: DataFrame, functions: DataFrame, files: DataFrame, rela
     found = found.select("question_id", F.lit("semantic").alias("strategy"), F.col("rank").cast("long").alias("order_key"), F.col("id").alias("function_id"))
     rows = direct.unionByName(up).unionByName(down).unionByName(found)
     place = F.row_number().over(Window.partitionBy("question_id").orderBy("order_key", "function_id"))
-    rows = rows.withColumn("entry_at", place).where(F.col("entry_at") <= MOST_ENTRIES)
+    rows = rows.withColumn("entry_at", place)
     return rows.join(named.select(F.col("id").alias("function_id"), "name", "location"), "function_id").select("question_id", "strategy", "entry_at", "function_id", "name", "location")
 
 

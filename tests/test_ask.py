@@ -16,3 +16,12 @@ def test_each_strategy_finds_its_entries(spark):
     assert got == {(1, "relationship", 1, "render", "unknown:1"), (2, "relationship", 1, "check", "src/a.ts:9"), (3, "direct", 1, "check", "src/a.ts:9"), (4, "semantic", 1, "render", "unknown:1")}
     text = {r.question_id: r.context for r in ask.contexts(rows).collect()}
     assert text[3] == "[Context retrieved via direct strategy | 1 entities]\n\n1. check\n   Location: src/a.ts:9"
+
+
+def test_all_callers_are_entries_and_are_counted(spark):
+    functions = spark.createDataFrame([(i, "hot" if i == 1 else f"f{i}", 1, i, None, None, None) for i in range(1, 252)], FUNCTIONS)
+    files = spark.createDataFrame([(1, "src/a.ts")], "id long, path string")
+    edges = spark.createDataFrame([(i, i, 1, "hot", "calls") for i in range(2, 252)], EDGES)
+    rows = ask.retrieved(spark.createDataFrame([(1, "what calls hot?")], "question_id long, question string"), functions, files, edges)
+    assert sorted(r.entry_at for r in rows.collect()) == list(range(1, 251))
+    assert ask.contexts(rows).first().context.startswith("[Context retrieved via relationship strategy | 250 entities]")
