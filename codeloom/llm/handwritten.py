@@ -100,20 +100,15 @@ def _has_folder(path: Column, folders: list[str]) -> Column:
 SOURCES = 16
 
 
-def _copies(held: DataFrame, least_hits: int = 5, least_copied: int = 10, copied_share: float = 0.8, least_packages: int = 3) -> DataFrame:
-    """(path, in_one, spread) for (path, package, line, third_party): how third-party or widely copied single files hold a file.
+def _copies(shared: DataFrame, sizes: DataFrame, least_hits: int = 5, least_copied: int = 10, copied_share: float = 0.8, least_packages: int = 3) -> DataFrame:
+    """(path, in_one, spread): how third-party or widely copied single files hold a file.
 
     in_one is the largest part of an unmarked file's distinct lines that one third-party file has. spread says that most lines of
     a file are those of one unmarked file whose copies lie in `least_packages` packages or more.
     """
-    held = held.distinct()
-    lines = held.groupBy("line").agg(F.count("*").alias("holders"), F.count_if("third_party").alias("theirs"), F.min("package").alias("first"), F.max("package").alias("last"))
-    lines = lines.select("line", (F.expr("theirs > 0 AND holders > theirs")).alias("of_theirs"), F.expr("holders - theirs >= 3 AND first <> last").alias("wide")).where("of_theirs OR wide")
-    shared = written(held.join(lines, "line"), "handwritten-shared")
     least = Window.partitionBy("line").orderBy(F.xxhash64("path"), "path")
     sources = lambda some: shared.where(some).select("line", F.col("path").alias("source"), F.row_number().over(least).alias("place")).where(F.col("place") <= SOURCES).drop("place")
     own = shared.where("NOT third_party")
-    sizes = held.where("NOT third_party").groupBy("path").agg(F.count("*").alias("n"))
     hits = lambda some: own.join(sources(some), "line").groupBy("path", "package", "source").agg(F.count("*").alias("hits")).join(sizes, "path")
     one = hits("third_party AND of_theirs").where(F.col("hits") >= least_hits).groupBy("path").agg(F.max(F.col("hits") / F.col("n")).alias("in_one"))
     alike = hits("NOT third_party AND wide").where((F.col("hits") >= least_copied) & (F.col("hits") >= copied_share * F.col("n")) & ~F.startswith("path", F.lit("\u0000")))
@@ -158,15 +153,19 @@ def file_evidence(files: DataFrame, functions: DataFrame) -> DataFrame:
     )
     known = written(known.select("path", "third_party", "generated", "minified", "data"), "handwritten-known")
 
-    held = facts.select("file_id", F.explode("lines").alias("line")).join(named, "file_id").join(known.select("path", "third_party"), "path").select("path", "package", "line", "third_party")
+    held = facts.select("file_id", F.explode("lines").alias("line")).join(named, "file_id").join(known.select("path", "third_party"), "path")
+    held = written(held.groupBy("path", "package", "line", "third_party").agg(F.count("*").alias("times")), "handwritten-held")
+    package = F.when(F.col("third_party"), F.col("package"))
     index = held.groupBy("line").agg(
-        F.count("*").alias("holders"), F.count_if("third_party").alias("theirs"), F.min(F.when(F.col("third_party"), F.col("package"))).alias("first"), F.max(F.when(F.col("third_party"), F.col("package"))).alias("last")
-    )
-    theirs = index.where("theirs > 0 AND theirs * 10 >= holders").select("line", "first", "last")
-    own = held.where("NOT third_party")
-    hits = own.join(theirs, "line").where("package <> first OR package <> last").groupBy("path").agg(F.count("*").alias("hits"))
-    contained = own.groupBy("path").agg(F.count("*").alias("n_lines")).join(hits, "path").select("path", (F.col("hits") / F.col("n_lines")).alias("contained"))
-    found = named.select("file_id", "path").join(known, "path").join(contained, "path", "left").join(_copies(held), "path", "left")
+        F.sum("times").alias("all_times"), F.sum(F.when(F.col("third_party"), F.col("times")).otherwise(0)).alias("their_times"), F.count("*").alias("holders"), F.count_if("third_party").alias("theirs"),
+        F.min(package).alias("first"), F.max(package).alias("last"), F.min("package").alias("low"), F.max("package").alias("high"),
+    )
+    index = index.select("line", F.expr("their_times > 0 AND their_times * 10 >= all_times").alias("rare"), "first", "last", F.expr("theirs > 0 AND holders > theirs").alias("of_theirs"), F.expr("holders - theirs >= 3 AND low <> high").alias("wide"))
+    shared = written(held.join(index.where("of_theirs OR wide"), "line"), "handwritten-shared")
+    sizes = held.where("NOT third_party").groupBy("path").agg(F.sum("times").alias("n_lines"), F.count("*").alias("n"))
+    hits = shared.where("NOT third_party AND rare AND (package <> first OR package <> last)").groupBy("path").agg(F.sum("times").alias("hits"))
+    contained = sizes.join(hits, "path").select("path", (F.col("hits") / F.col("n_lines")).alias("contained"))
+    found = named.select("file_id", "path").join(known, "path").join(contained, "path", "left").join(_copies(shared, sizes), "path", "left")
     return found.withColumns({"contained": F.coalesce(F.greatest("contained", "in_one"), F.lit(0.0)), "spread": F.coalesce("spread", F.lit(False))}).drop("in_one")
 
 
