@@ -107,3 +107,43 @@ def test_hot_copies_same_package_and_unmarked_copies(spark):
     files = spark.createDataFrame([(i, p, "h") for i, p in enumerate(bodies)], "id long, path string, content_hash string")
     functions = spark.createDataFrame([(i, i, b) for i, b in enumerate(bodies.values())], "id long, file_id long, body string")
     assert sorted(r.file_id for r in not_handwritten(file_evidence(files, functions)).collect()) == list(range(bad + 1))
+
+
+def judged(spark, bodies):
+    files = spark.createDataFrame([(i, p, "h") for i, p in enumerate(bodies)], "id long, path string, content_hash string")
+    functions = spark.createDataFrame([(i, i, b) for i, b in enumerate(bodies.values())], "id long, file_id long, body string")
+    evidence = file_evidence(files, functions).cache()
+    names = list(bodies)
+    return {names[r.file_id] for r in not_handwritten(evidence).collect()}, evidence
+
+
+def test_own_licences_and_own_style_are_hand_written(spark):
+    own = "// Copyright (c) 2024 Our Team. All rights reserved.\n"
+    old = lambda: hand().replace("const ", "var ")
+    bodies = {f"packages/own/src/f{i}.ts": own + hand() for i in range(4)} | {f"packages/es5/src/f{i}.js": old() for i in range(4)}
+    bodies |= {"packages/new/src/a.ts": hand(60), "packages/new/src/odd.js": old(), "packages/new/src/banner.ts": "/*! thing v2.10.3 | (c) 2019 Someone | licensed under MIT */\n" + hand(), "packages/new/public/thing-2.10.3.js": hand()}
+    found, _ = judged(spark, bodies)
+    assert found == {"packages/new/src/odd.js", "packages/new/src/banner.ts", "packages/new/public/thing-2.10.3.js"}
+
+
+def test_the_index_alone_decides_for_edited_copies(spark):
+    lib, plain = hand(60), hand(60)
+    half = "\n".join(lib.split("\n")[:45]) + "\n" + hand(20)
+    some = "\n".join(lib.split("\n")[:20]) + "\n" + hand(40)
+    bodies = {"packages/a/vendor/lib/x.js": lib, "packages/b/src/half.ts": half, "packages/b/src/some.ts": some, "packages/c/src/plain.ts": plain, "packages/d/src/plain.ts": plain + "\n" + hand(60)}
+    found, evidence = judged(spark, bodies)
+    assert found == {"packages/a/vendor/lib/x.js", "packages/b/src/half.ts"}
+    row = evidence.where("path = 'packages/b/src/half.ts'").first()
+    assert row.contained > 0.5 and not (row.third_party or row.generated or row.minified or row.data or row.foreign or row.spread)
+
+
+def test_lines_with_many_sources_lose_no_copy(spark):
+    shared, rare = hand(9).split("\n")[1:-1], hand(12).split("\n")[1:-1]
+    others = {f"packages/v{i}/vendor/o{i}/x.js": "\n".join(shared + [hand(20)]) for i in range(40)}
+    source = "\n".join(shared + rare)
+    bodies = others | {"packages/s/vendor/s/x.js": source, "packages/t/src/copy.ts": source + "\n  const more = await anything(first, second);"}
+    found, evidence = judged(spark, bodies)
+    assert "packages/t/src/copy.ts" in found and evidence.where("path = 'packages/t/src/copy.ts'").first().contained > 0.9
+    hot = {f"packages/u{i}/src/copy.ts": source + f"\n  const own{i} = await anything{i}(first, second);" for i in range(60)}
+    found, _ = judged(spark, hot | {"packages/z/src/alone.ts": hand()})
+    assert found == set(hot)
