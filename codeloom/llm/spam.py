@@ -1,10 +1,12 @@
 """Keyword-stuffed and link-list pages.
 
-Three kinds of evidence are joined. List density: the words of a page that stand in lines which are nothing but links,
-tags, counted labels or product entries. Stuffing: a sentence is stuffed when it repeats one of the page's own repeated word
-pairs. Phrases: the whole texts of all pages are exploded into phrase shingles, and the hosts of each (a source and package
-here) say how much of a page is copied from other hosts and how much of that one other page alone could have given; the
-listed and stuffed parts, with list items and keywords replaced by their kind, are compared in the same way.
+Three kinds of evidence are joined. Phrases: the whole texts of all pages are exploded into k-word phrase shingles, and the
+distinct hosts of each (a source and package here) say how much of a page is replicated on other hosts and how much of that one
+other page alone could have given. List density: the words of a page that stand in lines which are nothing but links, tags,
+counted labels or product entries. Stuffing: a sentence is stuffed when it repeats one of the page's own repeated word pairs.
+
+Pages are read in blocks. A block sends each of its distinct phrases on once, with the least and the greatest host that have it
+there, so a phrase that a third of all pages hold gives one entry per block, not one per page. The answers come back per block.
 """
 
 from __future__ import annotations
@@ -20,14 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
 from . import textvec as tv
 
 _WORD = re.compile(r"[^\W_]+")
 _URL = r"(?:https?://|www\.)[^\s<>\"')\]]+"
-_ANCHOR = rf"(?:\[[^\]\n]*\]\(\s*{_URL}\s*\)|<a\b[^>]*>.*?</a>|<\s*{_URL}\s*>|{_URL})"
-_GLUE = r"(?:\s|[-*+•|,;·»>:]|\d+[.)]|</?(?:li|ul|ol|p|div|span|br|td|tr|nav)\b[^>]*>)*"
-_LINKS = re.compile(rf"{_GLUE}(?:{_ANCHOR}{_GLUE})+", re.I)
+# no alternative runs over the start of another anchor, so a line is searched in linear time whatever it holds
+_ANCHOR = re.compile(rf"\[[^\[\]\n]*\]\(\s*{_URL}\s*\)|<a\b[^<>]*>[^<]*(?:<(?!/?a\b)[^<]*)*</a>|<\s*{_URL}\s*>|{_URL}", re.I)
+_GLUE = re.compile(r"(?:[\s\-*+•|,;·»>:]|\d+[.)]|</?(?:li|ul|ol|p|div|span|br|td|tr|nav)\b[^<>]*>)*", re.I)
 _TAGS = re.compile(r"\s*(?:#[^\W_][\w-]*[\s,;|]*)+")
 _COUNTED = re.compile(r"\s*[-*•]?\s*(?:[^\W\d_][^\W_]*(?:[ -][^\W_]+){0,3}\s*\(\d+\)[\s,;|·]*)+")
 _PRICE = r"(?:(?<!\d)\d[\d.,]{0,15}\s?(?:USD|EUR|GBP|CHF|[$€£])|(?:USD|EUR|GBP|CHF|[$€£])\s?\d[\d.,]{0,15})(?![\w])"
@@ -36,22 +37,22 @@ _PRODUCT = re.compile(rf"^(?=.*{_PRICE})(?!.*[.!?]\s*$)(?:\S+\s+){{2,14}}\S+\s*$
 _ENTRY = re.compile(rf"(?:\s*(?:\S+\s+){{1,14}}{_URL}|\s*{_URL}(?:\s+\S+){{1,13}}\s+\S*[^\s.!?])\s*", re.I)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
-_PAGES = "doc_id long, host long, n_words long, list_words long, list_items long, stuffed_words long, phrases array<long>"
+
+def _links(line: str) -> int:
+    """How many links a line holds if it is nothing but links and what separates them."""
+    rest, n = _ANCHOR.subn(" ", line)
+    return n if n and _GLUE.fullmatch(rest) else 0
 
 
-def _items(line: str) -> list[str]:
-    """What a line holds if it is nothing but list items, one token per item; empty for other lines."""
-    if _LINKS.fullmatch(line):
-        return ["<link>"] * len(re.findall(_ANCHOR, line, re.I))
+def _items(line: str) -> int:
+    """How many list items a line holds if it is nothing but such; 0 for other lines."""
+    if found := _links(line):
+        return found
     if _TAGS.fullmatch(line):
-        return ["<tag>"] * line.count("#")
+        return line.count("#")
     if _COUNTED.fullmatch(line):
-        return ["<counted>"] * line.count("(")
-    if _PRODUCT.match(line):
-        return ["<product>"]
-    if _ENTRY.fullmatch(line):
-        return ["<entry>"]
-    return []
+        return line.count("(")
+    return 1 if _PRODUCT.match(line) or _ENTRY.fullmatch(line) else 0
 
 
 def _keyword_pairs(words: list[str]) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
@@ -63,83 +64,36 @@ def _keyword_pairs(words: list[str]) -> tuple[set[tuple[str, str]], set[tuple[st
     return set(counts), {p for p, n in counts.items() if 6 * n >= len(words) and p[0].isalpha() and p[1].isalpha() and p[0] != p[1]}
 
 
-def page_evidence(text: str) -> tuple[int, int, int, int, list[str]]:
-    """(words, words in list lines, list items, words in stuffed sentences, tokens) of one page.
+def page_evidence(text: str) -> tuple[int, int, int, list[str]]:
+    """(words in list lines, list items, words in stuffed sentences, words) of one page.
 
     A sentence is stuffed when it holds one of the page's repeated word pairs twice or more, or one that alone is a third of
-    the page's words. The tokens are the page's list
-    items, replaced by their kind, and stuffed sentences, with keywords replaced by `<key>`: the phrases such pages share.
+    the page's words.
     """
     words = _WORD.findall(text.lower())
     pairs, dense = _keyword_pairs(words)
     n_list = n_items = stuffed = 0
-    tokens: list[str] = []
     for line in text.split("\n"):
         line = " ".join(line.split())
-        found = _items(line)
+        found = _items(line) if line else 0
         if found:
             n_list += len(_WORD.findall(line))
-            n_items += len(found)
-            tokens += found
+            n_items += found
             continue
         for sentence in _SENTENCE.findall(line.lower()) if pairs else ():
             w = _WORD.findall(sentence)
             inside = Counter(p for p in zip(w, w[1:]) if p in pairs)
-            keys = {p for p, n in inside.items() if n > 1 or p in dense}
-            if keys:
+            if any(n > 1 or p in dense for p, n in inside.items()):
                 stuffed += len(w)
-                hidden = {x for p in keys for x in p}
-                w = [x if x not in hidden else "<key>" for x in w]
-                tokens += [x for i, x in enumerate(w) if x != "<key>" or not i or w[i - 1] != "<key>"]
-    return len(words), n_list, n_items, stuffed, tokens
-
-
-def _pages(k: int):
-    """Arrow batches (doc_id, host, text) -> evidence and distinct phrase shingles of every page."""
+    return n_list, n_items, stuffed, words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[str, int] = {}
-            flat: list[int] = []
-            counts: list[tuple[int, int, int, int]] = []
-            sizes: list[int] = []
-            for text in batch.column(2).to_pylist():
-                *evidence, tokens = page_evidence(text)
-                counts.append(tuple(evidence))
-                sizes.append(len(tokens))
-                flat.extend(known[t] if t in known else known.setdefault(t, xxhash.xxh64_intdigest(t)) for t in tokens)
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            grams, rows = tv.shingles(np.array(flat, tv.U64), rows, k)
-            order = np.lexsort((grams, rows))
-            grams, rows = grams[order], rows[order]
-            if len(rows):
-                new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])))
-                grams, rows = grams[new], rows[new]
-            ends = np.searchsorted(rows, np.arange(len(sizes) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64)))
-            numbers = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, lists], [p.split()[0] for p in _PAGES.split(", ")])
-
-    return run
 
-
-#: Slots that the pages which hold a page's copied phrases are counted in, three to a long.
-SLOTS = 9
-_BLOCKS = "bucket int, block long, phrases binary, pages binary, hosts binary"
-_COPIED = "block long, page int, doc_id long, n_phrases long, copied long, s0 long, s1 long, s2 long"
-
-
-def _text_phrases(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every distinct k-word phrase of each whole text."""
+def _phrases(texts: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every distinct k-word phrase of each text, in order of the hash."""
     known: dict[str, int] = {}
-    flat: list[int] = []
-    sizes: list[int] = []
-    for text in texts:
-        words = _WORD.findall(text.lower()) if text else []
-        sizes.append(len(words))
-        flat.extend(known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words)
-    grams, rows = tv.shingles(np.array(flat, tv.U64), np.repeat(np.arange(len(sizes)), sizes), k)
-    order = np.lexsort((grams, rows))
+    flat = [known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for words in texts for w in words]
+    grams, rows = tv.shingles(np.array(flat, tv.U64), np.repeat(np.arange(len(texts)), [len(words) for words in texts]), k)
+    order = np.lexsort((rows, grams))
     grams, rows = grams[order], rows[order]
     if len(rows):
         new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])))
@@ -147,121 +101,162 @@ def _text_phrases(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarr
     return grams, rows
 
 
+#: Pages of a block, and slots that the pages which hold a page's copied phrases are counted in.
+BLOCK, SLOTS = 4096, 9
+_BLOCKS = "bucket int, block long, phrases binary, holders binary, hosts binary"
+_ANSWERS = "block long, holders binary, slots binary, pages binary, members binary, given binary"
+_SCORED = "doc_id long, n_words long, list_words long, list_items long, stuffed_words long, n_phrases long, copied_share double, one_source_share double"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lower `width` bytes of each value, all first bytes before all second ones: sorted values compress that way."""
+    return np.ascontiguousarray(np.ascontiguousarray(values.astype(np.int64)).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(packed: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((sum(map(len, packed)) // width, 8), np.uint8)
+    out[:, :width] = np.concatenate([np.frombuffer(x, np.uint8).reshape(width, -1).T for x in packed]) if packed else 0
+    return out.view(np.int64)[:, 0]
+
+
+def _slot(block: np.ndarray, page: np.ndarray) -> np.ndarray:
+    return (tv.mixed(block.astype(tv.U64) * tv.U64(65537) + page.astype(tv.U64)) % tv.U64(SLOTS)).astype(np.int64)
+
+
+def _runs(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
+
+
 def _blocks(k: int, buckets: int):
-    """Arrow batches (doc_id, host, text) -> the phrases of whole texts, packed: one row per block of pages and bucket.
+    """Arrow batches (doc_id, host, text) -> the phrases of blocks of pages: one row per block and bucket, and one with the pages.
 
-    An entry has the lower 48 bits of the phrase (the upper 16 give the bucket) as byte planes, which compress as they are
-    sorted, the page's place in its block and 24 bits of the host. A row of a negative bucket has a block's ids and numbers of phrases.
+    An entry is a distinct phrase of the block: its lower 48 bits (the upper 16 give the bucket), its holder (a page's place, or
+    BLOCK and more for a group of several pages) and its least and greatest host. Phrases that two hosts of the block have are
+    counted at once and need no answer (holder -1). The row of the pages has a negative bucket: evidence per page, groups and counts.
     """
 
+    def packed(block: int, part: pa.RecordBatch) -> pa.RecordBatch:
+        n = part.num_rows
+        seen = [page_evidence(text) for text in part.column(2).to_pylist()]
+        grams, rows = _phrases([x[3] for x in seen], k)
+        evidence = np.array([[len(x[3]), *x[:3]] for x in seen], np.int64).reshape(n, 4)
+        pages = np.column_stack([part.column(0).to_numpy(), evidence, np.bincount(rows, minlength=n)])
+        host = (part.column(1).to_numpy() & 0xFFFFFF)[rows]
+        order = np.lexsort((host, grams))
+        grams, rows, host = grams[order], rows[order], host[order]
+        first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+        sizes = _runs(first, len(grams))
+        low, high = host[first], host[first + sizes - 1]
+        both, several = low != high, (low == high) & (sizes > 1)
+        run = np.repeat(np.arange(len(first)), sizes)
+        other = np.where(low[run] != host, first[run], first[run] + sizes[run] - 1)[both[run]]
+        given = np.bincount(rows[both[run]] * SLOTS + _slot(np.full(len(other), block), rows[other]), minlength=n * SLOTS)
+        groups = np.cumsum(several) - 1
+        holder = np.where(both, -1, np.where(several, BLOCK + groups, rows[first]))
+        inside = several[run]
+        members = np.column_stack([groups[run][inside], rows[inside]])
+        bucket = (grams[first] >> tv.U64(48)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        names, at = tv.row_starts(bucket[order])
+        cuts = [order[a:b] for a, b in zip(at, np.append(at[1:], len(order)))]
+        phrases = [_planes(grams[first[c]].view(np.int64), 6) for c in cuts]
+        hosts = [_planes(low[c] | (low[c] ^ high[c]) << 24, 6) for c in cuts]
+        columns = [
+            pa.array([*names.tolist(), -1 - block % buckets], pa.int32()), pa.array([block] * (len(cuts) + 1), pa.int64()), pa.array([*phrases, pages.astype(np.int64).tobytes()], pa.binary()),
+            pa.array([*(_planes(holder[c], 3) for c in cuts), members.astype(np.int64).tobytes()], pa.binary()), pa.array([*hosts, given.astype(np.int64).tobytes()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, _names(_BLOCKS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                part = batch.slice(low, 4096)
-                grams, rows = _text_phrases(part.column(2).to_pylist(), k)
-                sizes = np.bincount(rows, minlength=part.num_rows).astype(np.int64)
-                bucket = (grams >> tv.U64(48)).astype(np.int64) % buckets
-                order = np.lexsort((grams & tv.U64((1 << 48) - 1), bucket))
-                grams, rows, bucket = grams[order], rows[order], bucket[order]
-                names, at = tv.row_starts(bucket)
-                ends = np.append(at[1:], len(bucket))
-                phrases = np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :6]
-                hosts = part.column(1).to_numpy()[rows].view(np.uint8).reshape(-1, 8)[:, :3]
-                pages = rows.astype(np.uint16).view(np.uint8).reshape(-1, 2)
-                packed = [[np.ascontiguousarray(x[a:b].T).tobytes() for a, b in zip(at, ends)] for x in (phrases, pages, hosts)]
-                known = [part.column(0).to_numpy().tobytes(), sizes.tobytes(), b""]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*names.tolist(), -1 - block % buckets], pa.int32()), pa.array([block] * (len(names) + 1), pa.int64()), *(pa.array([*x, y], pa.binary()) for x, y in zip(packed, known))],
-                    [c.split()[0] for c in _BLOCKS.split(", ")],
-                )
+            for low in range(0, batch.num_rows, BLOCK):
+                yield packed(block, batch.slice(low, BLOCK))
                 block += 1
 
     return run
 
 
-def _planes(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """The entries of all packed rows as integers of `width` bytes."""
-    parts = [np.frombuffer(x, np.uint8).reshape(width, -1).T for x in column.to_pylist()]
-    out = np.zeros((sum(map(len, parts)), 8), np.uint8)
-    out[:, :width] = np.concatenate(parts)
-    return out.view(tv.U64)[:, 0]
+def _answers(key: tuple, blocks: pa.Table) -> pa.Table:
+    """The entries of one bucket -> per block the holders of phrases that another host has, each with the slot of a page that has it.
 
-
-def _copied(key: tuple, blocks: pa.Table) -> pa.Table:
-    """The packed phrases of one bucket -> per page, those that another host has, counted by the page that has them."""
-    names = [c.split()[0] for c in _COPIED.split(", ")]
-    at = blocks.column("block").to_numpy()
+    Rows of pages pass through.
+    """
     if key[0].as_py() < 0:
-        ids, sizes = ([np.frombuffer(x, np.int64) for x in blocks.column(c).to_pylist()] for c in ("phrases", "pages"))
-        n = [len(x) for x in ids]
-        none = np.zeros(sum(n), np.int64)
-        return pa.table([np.repeat(at, n), np.concatenate([np.arange(x, dtype=np.int32) for x in n]), np.concatenate(ids), np.concatenate(sizes), none, none, none, none], names=names)
-    n = [len(x) // 2 for x in blocks.column("pages").to_pylist()]
-    grams, hosts = _planes(blocks.column("phrases"), 6), _planes(blocks.column("hosts"), 3).astype(np.uint32)
-    number = np.repeat(np.arange(len(n)), n) << 16 | _planes(blocks.column("pages"), 2).astype(np.int64)
-    order = np.lexsort((hosts, grams))
-    grams, number, hosts = grams[order], number[order], hosts[order]
+        none = pa.nulls(blocks.num_rows, pa.binary())
+        return pa.table([blocks.column("block"), none, none, *(blocks.column(c) for c in ("phrases", "holders", "hosts"))], names=_names(_ANSWERS))
+    at, holders = blocks.column("block").to_numpy(), blocks.column("holders").to_pylist()
+    n = [len(x) // 3 for x in holders]
+    grams, holder, hosts = _from_planes(blocks.column("phrases").to_pylist(), 6), _from_planes(holders, 3), _from_planes(blocks.column("hosts").to_pylist(), 6)
+    block, low = np.repeat(np.arange(len(n)), n), hosts & 0xFFFFFF
+    high = low ^ (hosts >> 24)
+    order = np.lexsort((low, grams))
+    grams, holder, block, low, high = (x[order] for x in (grams, holder, block, low, high))
     first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-    sizes = np.diff(np.append(first, len(grams)))
-    low, high = np.repeat(first, sizes), np.repeat(first + sizes - 1, sizes)
-    other = np.where(hosts[low] != hosts, low, high)  # an entry of another host, if the phrase has one
-    hit = hosts[other] != hosts
-    giver = number[other[hit]]
-    slot = (tv.mixed(at[giver >> 16].astype(tv.U64) * tv.U64(65537) + (giver & 65535).astype(tv.U64)) % tv.U64(SLOTS)).astype(np.int64)
-    pages, back = np.unique(number[hit], return_inverse=True)
-    slots = np.bincount(back * SLOTS + slot, minlength=len(pages) * SLOTS).reshape(-1, SLOTS).astype(np.int64)
-    packed = [slots[:, 3 * i] | slots[:, 3 * i + 1] << 21 | slots[:, 3 * i + 2] << 42 for i in range(3)]
-    empty = pa.nulls(len(pages), pa.int64())
-    return pa.table([pa.array(at[pages >> 16]), pa.array((pages & 65535).astype(np.int32)), empty, empty, pa.array(slots.sum(axis=1)), *map(pa.array, packed)], names=names)
-
-
-def copied_phrases(pages: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_phrases, copied_share, one_source_share) for (doc_id, host, text).
-
-    copied_share is the part of the distinct k-word phrases of the whole text that another host has too. one_source_share is
-    the largest part of these that falls to one slot of the pages that have them: near 1 for a mirror of one page.
-    """
-    buckets = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # several, so that tasks get even parts
-    blocks = pages.select("doc_id", "host", "text").mapInArrow(_blocks(k, buckets), _BLOCKS)
-    counted = blocks.groupBy("bucket").applyInArrow(_copied, _COPIED).groupBy("block", "page")
-    counted = counted.agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_phrases", "copied", "s0", "s1", "s2")])
-    counted = counted.where("n_phrases > 0").dropDuplicates(["doc_id"])
-    most = F.greatest(*[F.shiftright(f"s{i}", b).bitwiseAND((1 << 21) - 1) for i in range(3) for b in (0, 21, 42)])
-    return counted.select("doc_id", "n_phrases", (F.col("copied") / F.col("n_phrases")).alias("copied_share"), F.coalesce(F.try_divide(most, F.col("copied")), F.lit(0.0)).alias("one_source_share"))
+    run = np.repeat(np.arange(len(first)), _runs(first, len(grams)))
+    top = np.lexsort((high, run))  # the last of each run has its greatest host
+    top = top[np.append(first[1:], len(grams)) - 1][run]
+    other = np.where(low[first][run] != low, first[run], top)  # an entry with another host, if the phrase has one
+    asks = (holder != 0xFFFFFF) & ((low[other] != low) | (high[other] != low))
+    slot = _slot(at[block[other]], holder[other])[asks]
+    holder, block = holder[asks], block[asks]
+    order = np.argsort(block, kind="stable")
+    names, start = tv.row_starts(block[order])
+    cuts = [order[a:b] for a, b in zip(start, np.append(start[1:], len(order)))]
+    none = pa.nulls(len(cuts), pa.binary())
+    return pa.table([pa.array(at[names]), pa.array([_planes(holder[c], 3) for c in cuts], pa.binary()), pa.array([slot[c].astype(np.uint8).tobytes() for c in cuts], pa.binary()), none, none, none], names=_names(_ANSWERS))
+
+
+def _scored(key: tuple, rows: pa.Table) -> pa.Table:
+    """The answers to one block and the row of its pages -> evidence per page."""
+    known = {c: next(x for x in rows.column(c).to_pylist() if x is not None) for c in ("pages", "members", "given")}
+    pages = np.frombuffer(known["pages"], np.int64).reshape(-1, 6)
+    members = np.frombuffer(known["members"], np.int64).reshape(-1, 2)
+    holders = [x for x in rows.column("holders").to_pylist() if x is not None]
+    slots = np.frombuffer(b"".join(x for x in rows.column("slots").to_pylist() if x is not None), np.uint8).astype(np.int64)
+    holder = _from_planes(holders, 3)
+    counts = np.frombuffer(known["given"], np.int64) + np.bincount((holder * SLOTS + slots)[holder < BLOCK], minlength=len(pages) * SLOTS)
+    answered = np.full(len(members) and int(members[-1, 0]) + 1, -1)
+    answered[holder[holder >= BLOCK] - BLOCK] = slots[holder >= BLOCK]
+    hit = answered[members[:, 0]] if len(members) else np.zeros(0, np.int64)
+    counts = counts + np.bincount((members[:, 1] * SLOTS + hit)[hit >= 0], minlength=len(pages) * SLOTS)
+    counts = counts.reshape(-1, SLOTS)
+    copied = counts.sum(axis=1)
+    shares = [copied / np.maximum(pages[:, 5], 1), counts.max(axis=1, initial=0) / np.maximum(copied, 1)]
+    return pa.table([*(pa.array(pages[:, i]) for i in range(6)), *map(pa.array, shares)], names=_names(_SCORED))
 
 
 def page_spam_evidence(documents: DataFrame, id_col: str, text_col: str, host_cols: list[str], k: int = 5, min_items: int = 10, only_list: float = 0.8) -> DataFrame:
-    """(doc_id, n_words, spam_words, replicated_share, n_phrases, copied_share, one_source_share): evidence for every page with words.
+    """(doc_id, n_words, spam_words, n_phrases, copied_share, one_source_share): evidence for every page with words.
 
     spam_words are the words of stuffed sentences and of list lines; lists of fewer than `min_items` items count when they are
-    `only_list` of the page's words, as an ordinary short page may end in links that are more than half of its words. replicated_share is the part of the distinct k-word phrases of the
-    page's listed and stuffed parts that are also found on another host; the last three are those of `copied_phrases` over
-    whole texts. A repeated id is one page; null and empty texts have no evidence; an empty table gives an empty result; other
-    columns are ignored.
+    `only_list` of the page's words, as an ordinary short page may end in links that are more than half of its words.
+    copied_share is the part of the distinct k-word phrases of the whole text that another host has too; one_source_share is
+    the largest part of these that falls to one slot of the pages that have them: near 1 for a mirror of one page. A repeated
+    id is one page; null and empty texts have no evidence; an empty table gives an empty result; other columns are ignored.
     """
     pages = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*[F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")) for c in host_cols]).alias("host"), F.col(text_col).alias("text"))
     pages = pages.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    copied = copied_phrases(pages, k)
-    pages = written(pages.mapInArrow(_pages(k), _PAGES).where("n_words > 0"), "spam-pages")
+    buckets = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # several, so that tasks get even parts
+    answers = pages.mapInArrow(_blocks(k, buckets), _BLOCKS).groupBy("bucket").applyInArrow(_answers, _ANSWERS)
+    scored = answers.groupBy("block").applyInArrow(_scored, _SCORED).where("n_words > 0").dropDuplicates(["doc_id"])
     spam = F.col("stuffed_words") + F.when((F.col("list_items") >= min_items) | (F.col("list_words") >= only_list * F.col("n_words")), F.col("list_words")).otherwise(0)
-    scored = pages.select("doc_id", "n_words", spam.alias("spam_words"), "phrases").dropDuplicates(["doc_id"])
-    elsewhere = pages.select("host", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.min("host").alias("a"), F.max("host").alias("b")).where("a <> b").select("phrase")
-    suspects = scored.where("spam_words > 0").select("doc_id", F.size("phrases").alias("n"), F.explode("phrases").alias("phrase"))
-    shares = suspects.join(elsewhere, "phrase").groupBy("doc_id").agg((F.count("*") / F.first("n")).alias("replicated_share"))
-    known = scored.drop("phrases").join(shares, "doc_id", "left").join(copied, "doc_id", "left")
-    return known.na.fill(0.0, ["replicated_share", "copied_share", "one_source_share"]).na.fill(0, ["n_phrases"])
+    return scored.select("doc_id", "n_words", spam.alias("spam_words"), "n_phrases", "copied_share", "one_source_share")
 
 
 def spam_pages(
     evidence: DataFrame, min_share: float = 0.5, min_replicated: float = 0.25, clear_share: float = 0.7, min_copied: float = 0.9, max_one_source: float = 0.4, min_phrases: int = 50
 ) -> DataFrame:
-    """Pages most of whose words are list items or stuffed sentences, joined with their phrases being replicated elsewhere, and
-    pages stitched from phrases of several pages of other hosts.
+    """Pages most of whose words are list items or stuffed sentences, joined with their phrases being replicated on other hosts,
+    and pages stitched from phrases of several pages of other hosts.
 
     From `clear_share` on the words alone decide: a page may be the first of its kind in the collection. Copied phrases alone
     decide from `min_copied` on, unless one page alone may have given most of them: then the page is a mirror.
     """
     share = F.col("spam_words") / F.col("n_words")
     stitched = (F.col("n_phrases") >= min_phrases) & (F.col("copied_share") >= min_copied) & (F.col("one_source_share") <= max_one_source)
-    return evidence.where(((share > min_share) & ((F.col("replicated_share") >= min_replicated) | (share >= clear_share))) | stitched)
+    return evidence.where(((share > min_share) & ((F.col("copied_share") >= min_replicated) | (share >= clear_share))) | stitched)

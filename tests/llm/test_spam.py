@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from codeloom.llm.spam import page_evidence, page_spam_evidence, spam_pages
 
@@ -50,9 +53,48 @@ def test_long_text_and_empty_table(spark):
     assert page_spam_evidence(df.limit(0), "doc_id", "text", ["source"]).count() == 0
 
 
-def test_phrases_are_only_those_of_listed_and_stuffed_parts():
-    words, listed, items, stuffed, tokens = page_evidence("Some plain prose here.\nhttps://a.test/x\nhttps://b.test/y")
-    assert (listed, items, stuffed, tokens) == (8, 2, 0, ["<link>", "<link>"]) and words == 12
+def test_links_and_their_separators_make_a_list():
+    n_list, n_items, stuffed, words = page_evidence("Some plain prose here.\nhttps://a.test/x\n- [a](https://b.test/y), <a href='x'>b <i>c</i></a>")
+    assert (n_list, n_items, stuffed, len(words)) == (17, 3, 0, 21)
+
+
+def test_hostile_lines_take_no_time():
+    lines = [", ".join(f"https://h{i}.test/a,;:{i}" for i in range(200)) + " and then some words", "<a " * 50_000, "<a>" * 50_000, "[" * 100_000, "[x](" * 50_000, "<" + " " * 100_000, "#a " * 50_000 + "!", "x (1) " * 30_000 + "y", "9" * 100_000, "1. " * 50_000 + "z"]
+    for line in lines:
+        began = time.perf_counter()
+        page_evidence(line)
+        assert time.perf_counter() - began < 2
+    began = time.perf_counter()
+    page_evidence(lines[0])
+    assert time.perf_counter() - began < 0.1
+
+
+def test_replicated_phrases_decide_below_clear_density(spark):
+    rng = random.Random(8)
+    prose = [" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) + "." for _ in range(40)]
+    links = lambda i: "\n".join(f"https://h{i}x{j}.test/a/b.html" for j in range(12))
+    rows = [(i, f"{prose[i % 20]}\n{links(i)}", f"s{i}") for i in range(40)] + [(100 + i, f"{prose[20 + i]}\n{links(100 + i)}", f"s{i}") for i in range(20)]
+    rows += [(200 + i, f"{prose[i]} And w{i} more words of its own here.", "prose") for i in range(5)]
+    evidence = page_spam_evidence(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", ["source"]).cache()
+    share = {r.doc_id: r.spam_words / r.n_words for r in evidence.collect()}
+    assert all(0.5 < share[i] < 0.7 for i in [*range(40), *range(100, 120)])
+    assert sorted(r.doc_id for r in spam_pages(evidence).collect()) == list(range(40))
+    assert sorted(r.doc_id for r in spam_pages(evidence.withColumn("copied_share", F.lit(0.0))).collect()) == []
+
+
+def test_shares_equal_brute_force(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(30) if rng.random() < 0.9 else rng.randrange(10**6)}" for _ in range(rng.randrange(0, 60))) for _ in range(300)] + ["the footer of one host is the same everywhere"] * 300
+    rows = [(i, t, f"s{rng.randrange(4)}" if i < 300 else "one") for i, t in enumerate(texts)]
+    grams = {i: {tuple(t.split()[j : j + 2]) for j in range(len(t.split()) - 1)} for i, t, _ in rows}
+    hosts: dict[tuple, set[str]] = {}
+    for i, _, h in rows:
+        for g in grams[i]:
+            hosts.setdefault(g, set()).add(h)
+    expected = {i: sum(len(hosts[g]) > 1 for g in grams[i]) / max(len(grams[i]), 1) for i, t, _ in rows if t}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.copied_share for r in page_spam_evidence(df.repartition(5), "doc_id", "text", ["source"], k=2).collect()}
+    assert got == expected
 
 
 def test_stitched_pages_are_found_and_mirrors_are_not(spark):
