@@ -14,12 +14,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(evidence).select("file_id")
 
 
+def _linked_functions(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.near_duplicates(neardup.function_texts(table(spark, sf_dir, "functions")), "id", "text", k=4, threshold=0.7, min_words=30)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = neardup.function_texts(table(spark, sf_dir, "functions"))
-    pairs = neardup.near_duplicates(texts, "id", "text", k=4, threshold=0.7, min_words=30).pairs()
+    pairs = _linked_functions(spark, sf_dir).pairs()
     return pairs.select(F.col("id_a").alias("function_id_a"), F.col("id_b").alias("function_id_b"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per function with its class of equal texts and the number of other classes it is linked to."""
+    return _linked_functions(spark, sf_dir).memberships()
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between classes."""
+    return _linked_functions(spark, sf_dir).links.select("rep_a", "rep_b", F.round("similarity", 6).alias("similarity"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = spans.code_records(table(spark, sf_dir, "functions"), table(spark, sf_dir, "routes"))
     return spans.named_records(spans.shared_spans(records, "rec", "text"))
@@ -71,7 +84,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(evidence).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_shared_amount, p4_found, p4_redacted, p6_found, p7_mix, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_classes, p2_links, p3_found, p3_shared_amount, p4_found, p4_redacted, p6_found, p7_mix, p7_shares, p8_found)}
 
 _RECORDS = """
 recs AS (SELECT 'function' AS record_kind, id AS record_id, any_value(body) AS t FROM functions GROUP BY id
@@ -85,14 +98,21 @@ run AS (SELECT *, sum(fresh) OVER (PARTITION BY record_kind, record_id ORDER BY
 spans AS (SELECT record_kind, record_id, min(p) AS span_start, max(p) + 120 - min(p) AS span_len FROM run GROUP BY record_kind, record_id, g)
 """
 
-ORACLE = {
-    "p2_found": """
+_PAIRS = """
 WITH f AS (SELECT id, any_value(coalesce(signature, '') || ' ' || coalesce(body, '')) AS t FROM functions GROUP BY id),
 w AS (SELECT id, regexp_extract_all(t, '[A-Za-z0-9_]+') AS w FROM f),
+cl AS (SELECT id, min(id) OVER (PARTITION BY array_to_string(w, ' ')) AS rep FROM w WHERE len(w) >= 30),
 s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) AS g FROM w WHERE len(w) >= 30),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
-c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-SELECT c.a AS function_id_a, c.b AS function_id_b FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE c.k::DOUBLE / (x.n + y.n - c.k) >= 0.7""",
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+pa AS (SELECT c.a, c.b, c.k::DOUBLE / (x.n + y.n - c.k) AS similarity FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE c.k::DOUBLE / (x.n + y.n - c.k) >= 0.7),
+li AS (SELECT a AS rep_a, b AS rep_b, similarity FROM pa WHERE a IN (SELECT rep FROM cl) AND b IN (SELECT rep FROM cl))
+"""
+
+ORACLE = {
+    "p2_found": _PAIRS + "SELECT a AS function_id_a, b AS function_id_b FROM pa",
+    "p2_links": _PAIRS + "SELECT rep_a, rep_b, round(similarity, 6) AS similarity FROM li",
+    "p2_classes": _PAIRS + "SELECT id, rep, (SELECT count(*) FROM li WHERE rep_a = rep OR rep_b = rep) AS n_links FROM cl",
     "p3_found": f"WITH {_RECORDS} SELECT record_kind, record_id, span_start::BIGINT AS span_start, span_len::BIGINT AS span_len FROM spans",
     "p3_shared_amount": f"""WITH {_RECORDS}, per AS (SELECT record_kind, record_id, sum(span_len)::BIGINT AS shared_chars FROM spans GROUP BY ALL)
 SELECT record_kind, record_id, coalesce(length(t), 0)::BIGINT AS n_chars, coalesce(shared_chars, 0)::BIGINT AS shared_chars FROM recs LEFT JOIN per USING (record_kind, record_id)""",

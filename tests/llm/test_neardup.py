@@ -4,9 +4,13 @@ import itertools
 import random
 import re
 
+from codeloom.llm import neardup
 from codeloom.llm.neardup import forest_depth, function_texts, near_duplicates
 
 
+neardup_written = neardup.written
+
+
 def brute(rows, k, threshold, min_words):
     sets = {}
     for i, text in rows:
@@ -67,3 +71,45 @@ def test_depth_shortens_until_recall():
 def test_function_texts_take_nulls(spark):
     df = spark.createDataFrame([(1, None, "b"), (2, "s", None)], "id long, signature string, body string")
     assert sorted(r.text for r in function_texts(df).collect()) == [" b", "s "]
+
+
+def boilerplate(rng, n, head, tail):
+    """Texts of which each has most of its words, in different places, from one stock of sentences."""
+    stock = [" ".join(f"b{j}x{i}" for i in range(12)) for j in range(head)]
+    return [(i, ". ".join([*stock, " ".join(f"w{rng.randrange(10**7)}" for _ in range(tail))])) for i in range(n)]
+
+
+def test_crowded_nodes_lose_no_pair(spark):
+    rng = random.Random(6)
+    rows = boilerplate(rng, 300, 8, 60)
+    rows += [(1000 + i, " ".join(edited(rows[i][1].split(" "), rng, 3))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    expected = brute(rows, 4, 0.7, 30)
+    assert len(expected) >= 40
+    for crowd in (256, 8, 1):
+        found = near_duplicates(df, "id", "text", k=4, threshold=0.7, min_words=30, crowd=crowd)
+        assert {(r.id_a, r.id_b) for r in found.pairs().collect()} == expected
+
+
+def test_ten_thousand_texts_at_one_node(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = boilerplate(rng, 10_000, 9, 60)
+    rows += [(20_000 + i, " ".join(edited(rows[i][1].split(" "), rng, 2))) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    sizes = {}
+
+    def kept(df, label):
+        out = neardup_written(df, label)
+        return sizes.setdefault(label, out) and out
+
+    monkeypatch.setattr(neardup, "written", kept)
+    found = near_duplicates(df, "id", "text", k=4, threshold=0.7, min_words=30)
+    assert {(r.rep_a, r.rep_b) for r in found.links.collect()} == {(i, 20_000 + i) for i in range(50)}
+    assert sizes["neardup-crowded"].count() > 0 and sizes["neardup-candidates"].count() < 400_000  # of 50 million pairs
+
+
+def test_memberships_count_links(spark):
+    text = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(text)), (3, "  ".join(text)), (9, " ".join([*text, "more"])), (7, " ".join(f"x{i}" for i in range(60)))]
+    found = near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    assert {(r.id, r.rep, r.n_links) for r in found.memberships().collect()} == {(5, 3, 1), (3, 3, 1), (9, 9, 1), (7, 7, 0)}
