@@ -46,15 +46,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset."""
+    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where it is unset and the session is local.
+
+    On a cluster a folder of the driver's machine isn't shared, so an unset one is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="codeloom-"))
     return "file://" + _OWN_DIR[0]
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which `drop_written` deletes."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
@@ -62,9 +74,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1 +1 @@
-"""Readers and writers: source trees, the versioned table store, reports."""
+"""Readers and writers: source trees, reports."""

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.sources.report import markdown, mode_averages, write_csv
-from codeloom.sources.store import Store
 from codeloom.sources.tree import ignore_patterns, source_files
 from codeloom.streaming import watch as w
 
@@ -44,17 +43,6 @@ def test_watch_applies_last_state_of_each_path(spark, tmp_path):
     assert sorted(seen) == [("src/a.ts", "added", "h2"), ("src/b.ts", "removed", None)]
 
 
-def test_store_versions(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/store")
-    schema = spark.range(1).schema
-    assert store.version() == 0 and store.read("a", schema).count() == 0
-    store.commit({"a": spark.range(10), "b": spark.range(3)}, sort_by={"a": "id"})
-    assert store.commit({"a": store.read("a").where("id > 4")}) == 2
-    assert store.read("a").count() == 5 and store.read("b").count() == 3
-    with pytest.raises(KeyError):
-        store.read("missing")
-
-
 def test_source_tree(spark, tmp_path):
     for name in ("src/a.ts", "src/b.tsx", "src/c.d.ts", "src/d.js", "node_modules/x/e.ts", "dist/f.ts", "src/gen/g.ts", "deep/src/h h.ts"):
         file = tmp_path / name
