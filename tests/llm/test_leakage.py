@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from codeloom.llm.leakage import leaked_passages
+import random
+import resource
+
+from codeloom.llm.leakage import Passages, leaked_passages, words
 
 ITEM = "Which of the 14 callers of parseName breaks first when the İstanbul cache is empty, and why does it break"
 
@@ -33,7 +36,7 @@ def test_an_item_spans_question_and_answer(spark):
 def test_blocks_of_items_give_the_same(spark):
     items = [(i, " ".join(f"w{i}x{j}" for j in range(15)), "", "") for i in range(30)]
     docs = [(i, "so " + items[i][1] + " and " + items[(i * 7) % 30][1], "") for i in range(30)]
-    one, many = run(spark, docs, items), run(spark, docs, items, block_items=4)
+    one, many = run(spark, docs, items), run(spark, docs, items, block_words=60)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() >= 58
 
 
@@ -42,3 +45,32 @@ def test_long_text_and_empty_tables(spark):
     assert run(spark, [(1, text, "")], [(7, ITEM, "", "")]).count() == 1
     assert run(spark, [], [(7, ITEM, "", "")]).count() == 0
     assert run(spark, [(1, text, "")], []).count() == 0
+
+
+def brute(items, text, n):
+    w = words(text)
+    runs = {tuple(w[i : i + n]): i for i in range(len(w) - n + 1)}
+    return {i for i, t in items if any(tuple(words(t)[j : j + n]) in runs for j in range(len(words(t)) - n + 1))}
+
+
+def test_automaton_equals_brute_force():
+    rng = random.Random(1)
+    for n in (2, 5, 13):
+        items = [(i, " ".join(f"w{rng.randrange(4)}" for _ in range(rng.randrange(0, 40)))) for i in range(30)]
+        found = Passages(items, n)
+        for _ in range(60):
+            text = " ".join(f"w{rng.randrange(5)}" if rng.random() < 0.3 else items[rng.randrange(30)][1][: rng.randrange(1, 90)] for _ in range(8))
+            got = found.runs(text)
+            assert set(got) == brute(items, text, n)
+            assert all(high - low >= n for runs in got.values() for low, high in runs)
+
+
+def test_fifty_thousand_items_stay_small(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(200_000)}" for _ in range(60)), " ".join(f"v{rng.randrange(200_000)}" for _ in range(60)), "") for i in range(50_000)]
+    docs = [(i, f"intro {i} " + " ".join(items[i * 7][1].split()[10:30]) + " end", "") for i in range(400)] + [(9000 + i, items[i][1][:60], "") for i in range(50)]
+    rows = run(spark, docs, items, block_words=2_000_000).select("doc_id", "item_id").collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, i * 7) for i in range(400)}
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    Passages([(i, f"{q} {a}") for i, q, a, _ in items[:10_000]], 13)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 800_000  # kilobytes for 1.2 million words
