@@ -75,8 +75,9 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted, targets = mixing.mix_inputs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    mixed = written(mixing.mixed_documents(counted, mixing.raked_weights(counted, targets)), "mixing-mixed")
-    return mixing.mix_report(mixed, counted, targets)
+    weights = mixing.raked_weights(counted, targets)
+    mixed = written(mixing.mixed_documents(counted, weights), "mixing-mixed")
+    return mixing.mix_report(mixed, counted, targets, weights)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

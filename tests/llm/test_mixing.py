@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm.mixing import mix_inputs, mix_report, mixed_documents, raked_weights
 
@@ -44,3 +47,36 @@ def test_empty_tables(spark):
     assert drawn.count() == 0 and report["web"].tokens == 0
     _, drawn, report = mixed(spark, [(1, "a b", "en", "web", "p", "x")], [])
     assert drawn.count() == 0 and report == {}
+
+
+def test_shares_are_of_all_tokens_and_meet_every_goal(spark):
+    rng = random.Random(3)
+    rows = [(i, "alpha beta gamma " * rng.choice([1, 2, 3, 40]), rng.choice(["en", "de", "fr"]), rng.choice(["web", "web", "web", "guide", "forum", None, "other"]), f"p{rng.randrange(40)}", "x") for i in range(6000)]
+    goals = [("web", 0.2, 1), ("guide", 0.4, 3), ("forum", 0.2, 2), ("absent", 0.2, 2)]
+    counted, targets = mix_inputs(corpus(spark, rows), spark.createDataFrame(goals, "source string, target_share double, max_repeats int"))
+    weights = raked_weights(counted, targets).cache()
+    total = counted.agg({"tokens": "sum"}).first()[0]
+    have = {r.source: r.tokens for r in counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    cells = weights.collect()
+    assert all(0 <= r.weight <= r.cap for r in cells)
+    report = {r.source: r for r in mix_report(mixed_documents(counted, weights), counted, targets, weights).collect()}
+    for source, share, cap in goals[:3]:
+        goal = min(share * total, cap * have[source])
+        assert sum(r.weight * r.tokens for r in cells if r.source == source) == pytest.approx(goal)
+        assert report[source].tokens == pytest.approx(goal, rel=0.002) and report[source].goal_share == pytest.approx(goal / total)
+        assert report[source].total_share == pytest.approx(report[source].tokens / total)
+    assert report["absent"].tokens == 0 and report["absent"].goal_share == 0
+    reached = sum(r.weight * r.tokens for r in cells)
+    for lang in ("en", "de", "fr"):
+        own = sum(r.tokens for r in cells if r.lang == lang) / sum(r.tokens for r in cells)
+        assert sum(r.weight * r.tokens for r in cells if r.lang == lang) / reached == pytest.approx(own, rel=0.02)
+
+
+def test_many_parts_draw_the_same_tokens(spark):
+    rows = [(i, "word " * (1 + i % 30), "en", "web", f"p{i % 3}", "x") for i in range(5000)]
+    counted, targets = mix_inputs(corpus(spark, rows), spark.createDataFrame([("web", 0.37, 1)], "source string, target_share double, max_repeats int"))
+    weights = raked_weights(counted, targets)
+    total = counted.agg({"tokens": "sum"}).first()[0]
+    for per_bucket in (20_000, 300):
+        got = mixed_documents(counted, weights, per_bucket=per_bucket).agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
+        assert got == pytest.approx(0.37 * total, rel=0.003)
