@@ -24,38 +24,45 @@ from pyspark.sql import functions as F
 # What the automaton looks for, in lower case.
 KEYWORDS = [
     "-----begin", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "pk_live_", "sk_test_", "rk_test_", "pk_test_",
-    "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "aiza", "akia", "asia", "eyj", "pass", "pw", "sig=", "signature=", " -u", "--user", "signin", "secret", "token", "key", "kennwort", "clave", "contrase", "credential", "bearer ", "basic ", "://", "login", "curl ", "auth", "until",
+    "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "npm_", "sg.", "hooks.slack", "aiza", "akia", "asia", "eyj", "pass", "pw", "sig=", "signature=", " -u", "--user", "signin", "secret", "token", "key", "kennwort", "clave", "contrase", "credential", "bearer ", "basic ", "://", "login", "curl ", "auth", "until",
 ]
 
 _ISSUED = re.compile(
     r"(?<![A-Za-z0-9_\-])(?:"
-    r"gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,90}|glpat-[A-Za-z0-9_\-]{20}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{24,}|sk-(?:[a-z0-9]+-)?[A-Za-z0-9]{32,}"
-    r"|xox[abprs]-\d{8,}-\d{8,}-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_\-]{35}|(?:AKIA|ASIA)[A-Z0-9]{16}"
+    r"(?P<sum>(?:gh[pousr]|npm)_(?P<body>[A-Za-z0-9]{30})(?P<crc>[A-Za-z0-9]{6}))|github_pat_[A-Za-z0-9_]{40,90}|glpat-[A-Za-z0-9_\-]{20}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{24,}|sk-(?:[a-z0-9]+-)?[A-Za-z0-9]{32,}"
+    r"|xox[abprs]-\d{8,}-\d{8,}-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_\-]{35}|(?:AKIA|ASIA)[A-Z0-9]{16}|SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}"
     r"|(?P<jwt>eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]{16,})"
     r")(?![A-Za-z0-9])"
 )
+# Runs are possessive, so that a pattern takes a text of any length in linear time and needs no bound.
 _PRIVATE_KEY = re.compile(r"-----BEGIN (?P<kind>[A-Z ]*)PRIVATE KEY(?P<block> BLOCK)?-----(?:(?!-----BEGIN )[\s\S])*?-----END (?P=kind)PRIVATE KEY(?P=block)?-----|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----")
-_QUOTED = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.){0,4000})(?P=q)"
-_ENV = r"(?:(?:process\.env|import\.meta\.env|Deno\.env)[\w.\[\]\"'()]{0,99}\s{0,40}(?:\?\?|\|\|)\s{0,40})?"
-_NAMED = re.compile(rf"(?<![\w$])(?P<n>[A-Za-z_$][\w$]{{0,80}})[\"']?\s{{0,40}}(?:\?\s{{0,40}})?(?::\s{{0,40}}[\w<>\[\], |]{{1,80}}?\s{{0,40}}=|[:=](?!=))\s{{0,40}}{_ENV}{_QUOTED}")
-_ENV_FALLBACK = re.compile(rf"process\.env\.(?P<n>\w+)\s{{0,40}}(?:\?\?|\|\|)\s{{0,40}}{_QUOTED}")
-_HEADER = re.compile(rf"[\"'](?P<n>[A-Za-z][\w-]{{0,80}})[\"']\s{{0,40}}(?:\]\s{{0,40}}[!=]?={{1,3}}|,|:)\s{{0,40}}{_QUOTED}")
-_BEARER = re.compile(r"\b(?:Bearer|bearer|BEARER)\s{1,40}(?P<v>[A-Za-z0-9+/=._~\-]{12,})")
-_BASIC = re.compile(r"\b(?:Basic|basic|BASIC)\s{1,40}(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
-_USERINFO = re.compile(r"://[^\s:/@\"'`?#]{0,200}:(?P<v>[^\s/@\"'`]{1,500})@")
-_SETTING = re.compile(r"(?:(?<=[;\"'`\s])|^)(?:password|pwd|passwd)\s{0,40}=\s{0,40}(?P<v>[^;\s\"'`]+)(?=\s{0,40}[;\"'`])", re.I)
-_DOTENV = re.compile(r"(?:^|(?<=[\n\"'`])|(?<=\\n))[ \t]{0,40}(?:export[ \t]{1,4})?(?P<n>[A-Z][A-Z0-9_]{0,80})=(?P<v>(?:(?!\\n)[^\s\"'`])+)", re.M)
-_QUERY = re.compile(r"[?&](?:api_?key|access_?token|auth_?token|token|key|secret|client_secret|password|pwd|sig|signature)=(?P<v>[^&\s\"'`#<>]+)", re.I)
-_LOGIN = re.compile(rf"\.(?:login|signIn|signin|authenticate|auth)\(\s{{0,40}}(?:\"[^\"\n]{{0,200}}\"|'[^'\n]{{0,200}}'|`[^`\n]{{0,200}}`)\s{{0,40}},\s{{0,40}}{_QUOTED}")
-_CURL = re.compile(r"\s(?:-u|--user)[ =]{1,4}[\"']?[^\s:\"'`]{1,200}:(?P<v>[^\s\"'`]+)")
-_NOTE = re.compile(r"(?:(?<![:\w])//|/\*|^[ \t]{0,200}\*)[^\n]{0,300}?\b(?:password|passwort|kennwort|passphrase|passwd|pass|pwd|pw|secret|token|api key|mot de passe|contraseña|clave)\b(?:\s{1,40}(?:was|is|war|ist|lautet|era|es|était|est))?\s{0,40}[:=]?\s{0,40}[\"'`]?(?P<v>[^\s\"'`]{6,})", re.I | re.M)
-_NOTE_LOGIN = re.compile(r"(?:(?<![:\w])//|/\*|^[ \t]{0,200}\*)[^\n]{0,300}?\b(?:login|user|account|zugang|usuario|compte)\s{1,40}\S{1,80}\s{0,40}/\s{0,40}(?P<v>[^\s\"'`]{6,})", re.I | re.M)
-_NOTE_PAIR = re.compile(r"(?:(?<![:\w])//|/\*)\s{0,40}[A-Za-z][\w.]{0,80}:(?P<v>(?!//)[^\s\"'`]{6,})(?=\s)")
-
-_GOES_ON = re.compile(r"\+\s{0,40}$")
-_COMES_ON = re.compile(r"\n\s{0,80}\+\s{0,80}[\"'`]")
-_MAY_HOLD = re.compile(r"[\"'`]|//|/\*|^\s*\*|^\s*(?:export )?[A-Z][A-Z0-9_]*=|://|\s-u\s", re.M)
-_JOINT = re.compile(r"([\"'`])\s{0,80}\+\s{0,80}([\"'`])")
+_QUOTED = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*+)(?P=q)"
+_ENV = r"(?:(?:process\.env|import\.meta\.env|Deno\.env)[\w.\[\]\"'()]*+\s*+(?:\?\?|\|\|)\s*+)?"
+_NAMED = re.compile(rf"(?<![\w$])(?P<n>[A-Za-z_$][\w$]*+)[\"']?\s*+(?:\?\s*+)?(?::\s*+[\w<>\[\], |]++\s*+=|[:=](?!=))\s*+{_ENV}{_QUOTED}")
+_ENV_FALLBACK = re.compile(rf"process\.env\.(?P<n>\w++)\s*+(?:\?\?|\|\|)\s*+{_QUOTED}")
+_HEADER = re.compile(rf"[\"'](?P<n>[A-Za-z][\w-]*+)[\"']\s*+(?:\]\s*+[!=]?={{1,3}}|,|:)\s*+{_QUOTED}")
+_BEARER = re.compile(r"\b(?:Bearer|bearer|BEARER)\s++(?P<v>[A-Za-z0-9+/=._~\-]{12,})")
+_BASIC = re.compile(r"\b(?:Basic|basic|BASIC)\s++(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])")
+_USERINFO = re.compile(r"://[^\s:/@\"'`?#]*+:(?P<v>[^\s/@\"'`]++)@")
+_SETTING = re.compile(r"(?:(?<=[;\"'`\s])|^)(?:password|pwd|passwd)\s*+=\s*+(?P<v>[^;\s\"'`]++)(?=\s*+[;\"'`])", re.I)
+_ACCOUNT_KEY = re.compile(r"\b(?:AccountKey|SharedAccessKey)\s*+=\s*+(?P<v>[A-Za-z0-9+/]{40,}={0,2})", re.I)
+_WEBHOOK = re.compile(r"hooks\.slack\.com/services/(?P<v>T[A-Z0-9]{6,}/B[A-Z0-9]{6,}/[A-Za-z0-9]{16,})")
+_DOTENV = re.compile(r"(?:^|(?<=[\n\"'`])|(?<=\\n))[ \t]*+(?:export[ \t]++)?(?P<n>[A-Z][A-Z0-9_]*+)=(?P<v>(?:(?!\\n)[^\s\"'`])+)", re.M)
+#: A line of a settings file: no quotes, and nothing after the value.
+_YAML = re.compile(r"(?:^|(?<=[\"'`])|(?<=\\n))[ \t]*+(?:-[ \t]++)?(?P<n>[A-Za-z][\w.-]*+):[ \t]++(?P<v>[A-Za-z0-9+/=_\-!@%^&*~]{12,})(?=[ \t]*+(?:#[^\n]*)?(?:$|\\n|[\"'`]))", re.M)
+_QUERY = re.compile(r"[?&](?:api_?key|access_?token|auth_?token|token|key|secret|client_secret|password|pwd|sig|signature)=(?P<v>[^&\s\"'`#<>]++)", re.I)
+_LOGIN = re.compile(rf"\.(?:login|signIn|signin|authenticate|auth)\(\s*+(?:\"[^\"\n]*+\"|'[^'\n]*+'|`[^`\n]*+`)\s*+,\s*+{_QUOTED}")
+_CURL = re.compile(r"\s(?:-u|--user)[ =]++[\"']?[^\s:\"'`]++:(?P<v>[^\s\"'`]++)")
+#: Where a comment begins, and what in it names a credential; the rest of the comment's line is searched for the latter.
+_LEAD = re.compile(r"(?<![:\w])//|/\*|^[ \t]*+\*", re.M)
+_NOTE = re.compile(r"\b(?:password|passwort|kennwort|passphrase|passwd|pass|pwd|pw|secret|token|api key|mot de passe|contraseña|clave)\b(?:\s++(?:was|is|war|ist|lautet|era|es|était|est)(?=[\s:=]))?\s*+[:=]?\s*+[\"'`]?(?P<v>[^\s\"'`]{6,})", re.I)
+_NOTE_LOGIN = re.compile(r"\b(?:login|user|account|zugang|usuario|compte)\s++[^\s/]++\s*+/\s*+(?P<v>[^\s\"'`]{6,})", re.I)
+_NOTE_PAIR = re.compile(r"(?:(?<![:\w])//|/\*)[^\S\n]*+[A-Za-z][\w.]*+:(?P<v>(?!//)[^\s\"'`]{6,})(?=\s)")
+
+_GOES_ON = re.compile(r"\+\s*+$")
+_COMES_ON = re.compile(r"\n\s*+\+\s*+[\"'`]")
+_MAY_HOLD = re.compile(r"[\"'`]|//|/\*|^\s*\*|^\s*(?:export )?[A-Z][A-Z0-9_]*=|://|\s-u\s|^\s*(?:- +)?[A-Za-z][\w.-]*+:[ \t]+\S{12}", re.M)
+_JOINT = re.compile(r"([\"'`])\s*+\+\s*+([\"'`])")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # Words of names that hold credentials, and words that say a name holds something about them instead.
 SECRET_WORDS = {"password", "passwd", "passwort", "passphrase", "passcode", "passe", "pass", "pwd", "pw", "secret", "secrets", "token", "credential", "credentials", "kennwort", "clave", "contrasena", "apikey", "key"}
@@ -132,6 +139,29 @@ def _is_jwt(value: str) -> bool:
         return False
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _has_checksum(body: str, crc: str) -> bool:
+    """Whether the last characters are the CRC-32 of those before them in base 62, as some issuers write their tokens."""
+    value = 0
+    for c in crc:
+        value = value * 62 + _BASE62.index(c)
+    return value == binascii.crc32(body.encode())
+
+
+def _is_varied(value: str) -> bool:
+    """Not a stand-in of few different characters."""
+    return len(set(value)) >= 10 and not _PLACEHOLDER.match(value)
+
+
+def _is_issued(match: re.Match) -> bool:
+    """A token with its checksum is one; older ones, which have none, must look drawn at random, and a JWT have a header."""
+    if match["sum"] and _has_checksum(match["body"], match["crc"]):
+        return True
+    return _is_jwt(match["jwt"]) if match["jwt"] else _is_varied(match[0])
+
+
 def _is_basic(value: str) -> bool:
     try:
         user, colon, password = base64.b64decode(value + "=" * (-len(value) % 4)).decode("utf-8").partition(":")
@@ -159,8 +189,9 @@ _PLACES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [
     (_QUERY, lambda m: _is_mixed(m["v"])),
     (_LOGIN, lambda m: _is_mixed(m["v"])),
     (_CURL, lambda m: _is_free(m["v"])),
-    (_NOTE, lambda m: _is_mixed(m["v"])),
-    (_NOTE_LOGIN, lambda m: _is_mixed(m["v"])),
+    (_ACCOUNT_KEY, lambda m: _is_mixed(m["v"])),
+    (_WEBHOOK, lambda m: _is_varied(m["v"])),
+    (_YAML, lambda m: _is_name(m["n"]) and _is_strong(m["v"]) and bool(re.search(r"\d.*[A-Za-z]", m["v"]))),
     (_NOTE_PAIR, lambda m: _is_mixed(m["v"])),
     (_NAMED, _is_named),
     (_ENV_FALLBACK, lambda m: _is_name(m["n"]) and _is_mixed(m["v"])),
@@ -168,13 +199,38 @@ _PLACES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [
 ]
 
 
+#: Patterns that are looked for in the rest of a comment's line.
+_NOTES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [(_NOTE, lambda m: _is_mixed(m["v"])), (_NOTE_LOGIN, lambda m: _is_mixed(m["v"]))]
+
+
+def _note_spans(text: str, pattern: re.Pattern, holds: Callable[[re.Match], bool]) -> list[tuple[int, int]]:
+    """Spans of what `pattern` finds first after the beginning of each comment, on its line; the value may be on the next one."""
+    found, done = [], 0
+    for lead in _LEAD.finditer(text):
+        if lead.start() < done:
+            continue
+        end = text.find("\n", lead.end())
+        end = len(text) if end < 0 else end
+        after = text.find("\n", end + 1)
+        match = pattern.search(text, lead.end(), len(text) if after < 0 else after)
+        if match and match.start() < end:
+            done = match.end()
+            if holds(match):
+                found.append(match.span("v"))
+        else:
+            done = end
+    return found
+
+
 def _spans(text: str, lead: str = "") -> list[tuple[int, int]]:
     """(start, end) of the credentials of one part of a text, apart from private keys."""
     flat, cuts = _joined(text)
     flat = lead + flat
-    found = [m.span() for m in _ISSUED.finditer(flat) if not m["jwt"] or _is_jwt(m["jwt"])]
+    found = [m.span() for m in _ISSUED.finditer(flat) if _is_issued(m)]
     for pattern, holds in _PLACES:
         found += [m.span("v") for m in pattern.finditer(flat) if holds(m)]
+    for pattern, holds in _NOTES:
+        found += _note_spans(flat, pattern, holds)
     return [(_place(a - len(lead), cuts), _place(b - 1 - len(lead), cuts) + 1) for a, b in set(found) if a >= len(lead)]
 
 
@@ -200,7 +256,6 @@ _BODY_PLACES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [
 ]
 #: Comments that no keyword announces; each is on one line.
 _NOTE_PLACES: list[tuple[re.Pattern, Callable[[re.Match], bool]]] = [
-    (_NOTE_LOGIN, lambda m: _is_mixed(m["v"]) and "\n" not in m[0]),
     (_NOTE_PAIR, lambda m: _is_strong(m["v"]) and "\n" not in m[0]),
 ]
 
@@ -210,6 +265,8 @@ def _body_spans(text: str, named: bool) -> list[tuple[int, int]]:
     places = (_BODY_PLACES if named else []) + (_NOTE_PLACES if "//" in text or "*" in text else [])
     flat, cuts = _joined(text) if places else ("", [])
     found = {m.span("v") for pattern, holds in places for m in pattern.finditer(flat) if holds(m)}
+    if "//" in flat or "*" in flat:
+        found.update(_note_spans(flat, _NOTE_LOGIN, lambda m: _is_mixed(m["v"]) and "\n" not in m[0]))
     return [(_place(a, cuts), _place(b - 1, cuts) + 1) for a, b in found]
 
 
