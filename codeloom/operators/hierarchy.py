@@ -95,11 +95,12 @@ class Hierarchy:
 
     status is `tree`, `on_cycle` or `below_cycle`. In trees depth is 0 at the root and path joins the ids from the root
     with `/`; elsewhere root and depth are -1, path is empty and cycle is the least node of the cycle. n_descendants is
-    null on cycles, where every node descends from every other.
+    null on cycles, where every node descends from every other. `links` (parent, child) are the links of the hierarchies and
+    `dropped` (parent, child) those to further parents of a child, which a hierarchy can't have.
     """
 
-    def __init__(self, nodes: DataFrame, links: DataFrame):
-        self.nodes, self.links = nodes, links
+    def __init__(self, nodes: DataFrame, links: DataFrame, dropped: DataFrame):
+        self.nodes, self.links, self.dropped = nodes, links, dropped
 
     def descendants(self) -> DataFrame:
         """(ancestor, node, distance) for every node of a tree and each of its ancestors."""
@@ -116,14 +117,16 @@ def hierarchy(links: DataFrame, parent_col: str, child_col: str, max_component:
     """Arrange parent-child rows as full hierarchies.
 
     Repeated rows count once. A row without a parent makes its child a node; a row without a child makes nothing; a child
-    with several parents keeps the least; a row from a node to itself is a cycle. An empty table gives empty results.
-    Other columns are ignored.
+    with several parents keeps the least, and its other links are in `dropped`; a row from a node to itself is a cycle. An empty
+    table gives empty results. Other columns are ignored. `max_component` bounds what one task holds, not what is found.
     """
     rows = links.select(F.col(parent_col).cast("long").alias("parent"), F.col(child_col).cast("long").alias("child")).where("child IS NOT NULL")
     parents = rows.groupBy("child").agg(F.min("parent").alias("parent"))
     tops = rows.where("parent IS NOT NULL").select(F.col("parent").alias("child")).distinct().withColumn("parent", F.lit(None).cast("long"))
     all_nodes = parents.unionByName(tops).groupBy("child").agg(F.min("parent").alias("parent")).withColumnRenamed("child", "node")
     all_nodes = written(all_nodes, "hierarchy-nodes")
+    several = rows.where("parent IS NOT NULL").join(parents.where("parent IS NOT NULL").withColumnRenamed("parent", "kept"), "child").where("parent <> kept")
+    dropped = several.select("parent", "child").distinct()
     links_kept = all_nodes.where("parent IS NOT NULL").select("parent", F.col("node").alias("child"))
 
     done = all_nodes.where("parent IS NULL").select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("depth"))
@@ -147,30 +150,23 @@ def hierarchy(links: DataFrame, parent_col: str, child_col: str, max_component:
     for part in finished[1:]:
         trees = trees.unionByName(part)
     label = open_.select(F.col("node").alias("jump"), F.col("least").alias("component"))
-    looped = open_.join(label, "jump").select("node", "component")
-    placed = written(trees.select("node", "component", "depth").unionByName(looped.withColumn("depth", F.lit(-1).cast("long"))).join(all_nodes, "node"), "hierarchy-components")
+    # the jumps are longer than any way to a cycle, and the same number of steps moves each node of a cycle to another one of it
+    on_cycle = open_.select(F.col("jump").alias("node")).distinct().withColumn("on_it", F.lit(True))
+    looped = open_.join(label, "jump").join(on_cycle, "node", "left").select("node", "component", F.lit(-1).cast("long").alias("depth"), F.coalesce("on_it", F.lit(False)).alias("on_it"))
+    placed = written(trees.select("node", "component", "depth", F.lit(False).alias("on_it")).unionByName(looped).join(all_nodes, "node"), "hierarchy-components")
 
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     large = sizes.where(F.col("size") > max_component).select("component")
     small_rows = placed.join(large, "component", "left_anti").select("component", "node", "parent")
     small = small_rows.repartition("component").sortWithinPartitions("component").mapInPandas(_walk_components, _OUT)
     if large.isEmpty():
-        return Hierarchy(small, links_kept)
+        return Hierarchy(small, links_kept, dropped)
     big = placed.join(large, "component", "left_semi")
-    return Hierarchy(small.unionByName(_walk_large(big)), links_kept)
+    return Hierarchy(small.unionByName(_walk_large(big)), links_kept, dropped)
 
 
 def _walk_large(rows: DataFrame) -> DataFrame:
     """The same columns for components that aren't gathered: doubling instead of a walk."""
-    loops = rows.where("depth < 0")
-    on = loops.select("node", "parent", "component")
-    while True:  # peel leaves: what remains has a child in the loop
-        kept = written(on.join(on.select(F.col("parent").alias("node")).distinct(), "node", "left_semi"), "hierarchy-peel")
-        before, after = on.count(), kept.count()
-        on = kept
-        if before == after:
-            break
-    on_ids = on.select("node", F.lit(True).alias("on_it"))
     trees = rows.where("depth >= 0")
     way = trees.select("node", F.col("parent").alias("jump"), F.col("node").cast("string").alias("path"))
     way = written(way, "hierarchy-way")
@@ -184,7 +180,7 @@ def _walk_large(rows: DataFrame) -> DataFrame:
     out = trees.join(way.select("node", "path"), "node").join(above, "node").select(
         "node", F.col("component").alias("root"), "depth", "path", F.lit("tree").alias("status"), "n_descendants", F.lit(None).cast("long").alias("cycle")
     )
-    hanging = loops.join(on_ids, "node", "left").withColumn("on_it", F.coalesce("on_it", F.lit(False)))
+    hanging = rows.where("depth < 0")
     below = _descendants_below(hanging)
     looped = hanging.join(below, "node", "left").select(
         "node", F.lit(-1).cast("long").alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit("").alias("path"),

@@ -59,7 +59,16 @@ def test_equals_brute_force(spark, max_component):
 
 def test_several_parents_keep_the_least(spark):
     df = spark.createDataFrame([(5, 9), (3, 9), (3, 5)], "parent long, child long")
-    assert {r.node: r.path for r in hierarchy(df, "parent", "child").nodes.collect()} == {3: "3", 5: "3/5", 9: "3/9"}
+    h = hierarchy(df, "parent", "child")
+    assert {r.node: r.path for r in h.nodes.collect()} == {3: "3", 5: "3/5", 9: "3/9"}
+    assert [tuple(r) for r in h.dropped.collect()] == [(5, 9)]
+
+
+def test_long_chain_below_a_cycle_takes_few_rounds(spark):
+    links = [(1, 2), (2, 3), (3, 1)] + [(i, i + 1) for i in range(3, 1500)]
+    nodes = hierarchy(spark.createDataFrame(links, "parent long, child long"), "parent", "child", max_component=10).nodes.collect()
+    assert {r.node for r in nodes if r.status == "on_cycle"} == {1, 2, 3} and {r.cycle for r in nodes} == {1}
+    assert {r.node: r.n_descendants for r in nodes if r.status == "below_cycle"} == {i: 1500 - i for i in range(4, 1501)}
 
 
 def test_empty_table(spark):
