@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import location
@@ -61,26 +61,51 @@ def callees(edges: DataFrame, named: DataFrame) -> DataFrame:
     return joined.select("function_id", "edge_id", "callee_id", F.coalesce("name", "called").alias("callee_name"), F.coalesce("location", F.lit("unresolved")).alias("location"))
 
 
-def transitive_callers(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
-    """(id, level): every function that reaches a seed by calls, with its least distance.
+def callers_of(edges: DataFrame, asked: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, caller_id, by_name, edge_id): who calls the functions of `asked` (id, name), by id or by the called name; each caller once.
 
-    `seeds` has `id` (the changed functions) and `name` (edges by that name without a target count as direct). Breadth-first:
-    a level joins its frontier with the edges and drops what was seen, so cycles end. A seed that a cycle leads back to counts.
+    Calls by id come before calls by name, each in the order of their edges. With `most`, the first so many of each are taken,
+    which gives the first so many callers: enough for a list that is cut anyway, however often a name is called.
+    """
+    calls = edges.where("relation_type = 'calls'")
+
+    def firsts(called: str) -> DataFrame:
+        one = calls.where(F.col(called).isNotNull()).groupBy(called, F.col("caller_function_id").alias("caller_id")).agg(F.min("id").alias("edge_id"))
+        place = F.row_number().over(Window.partitionBy(called).orderBy("edge_id"))
+        return one if most is None else one.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+    by_id = asked.select("id", F.col("id").alias("callee_function_id")).join(firsts("callee_function_id"), "callee_function_id").select("id", "caller_id", F.lit(0).alias("by_name"), "edge_id")
+    by_name = asked.select("id", F.col("name").alias("callee_name")).join(firsts("callee_name"), "callee_name").select("id", "caller_id", F.lit(1).alias("by_name"), "edge_id")
+    one = by_id.unionByName(by_name).groupBy("id", "caller_id").agg(F.min(F.struct("by_name", "edge_id")).alias("first"))
+    return one.select("id", "caller_id", "first.by_name", "first.edge_id")
+
+
+def reached_by_each(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """(seed, id, level): for every seed the functions that reach one of its functions by calls, with their least distance.
+
+    `seeds` has `seed`, `id` (the changed functions) and `name` (edges by that name count as direct). Breadth-first for all seeds
+    at once: a level joins its frontier with the edges and drops what the seed has seen, so cycles end. A changed function that a
+    cycle leads back to counts.
     """
     calls = edges.where("relation_type = 'calls'")
     steps = calls.where("callee_function_id IS NOT NULL").select("callee_function_id", "caller_function_id").distinct()
-    by_id = steps.join(seeds.select(F.col("id").alias("callee_function_id")), "callee_function_id", "left_semi").select(F.col("caller_function_id").alias("id"))
-    by_name = calls.join(seeds.select(F.col("name").alias("callee_name")).where("callee_name IS NOT NULL"), "callee_name", "left_semi").select(F.col("caller_function_id").alias("id"))
+    by_id = steps.join(seeds.select("seed", F.col("id").alias("callee_function_id")), "callee_function_id").select("seed", F.col("caller_function_id").alias("id"))
+    by_name = calls.join(seeds.select("seed", F.col("name").alias("callee_name")), "callee_name").select("seed", F.col("caller_function_id").alias("id"))
     frontier = written(by_id.unionByName(by_name).distinct(), "callers-level")
     seen, level = frontier.withColumn("level", F.lit(1)), 1
     while not frontier.isEmpty() and level != max_levels:
         level += 1
-        reached = steps.join(frontier.select(F.col("id").alias("callee_function_id")), "callee_function_id", "left_semi").select(F.col("caller_function_id").alias("id")).distinct()
-        frontier = written(reached.join(seen.select("id"), "id", "left_anti"), "callers-level")
+        reached = steps.join(frontier.select("seed", F.col("id").alias("callee_function_id")), "callee_function_id").select("seed", F.col("caller_function_id").alias("id")).distinct()
+        frontier = written(reached.join(seen.select("seed", "id"), ["seed", "id"], "left_anti"), "callers-level")
         seen = seen.unionByName(frontier.withColumn("level", F.lit(level)))
     return seen
 
 
+def transitive_callers(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """(id, level): every function that reaches one of the seeds (id, name), as in `reached_by_each`."""
+    return reached_by_each(edges, seeds.select(F.lit(0).alias("seed"), "id", "name"), max_levels).drop("seed")
+
+
 def most_called(edges: DataFrame, functions: DataFrame) -> DataFrame:
     """(id, name): the function with the most incoming calls, the least id among equals."""
     counts = edges.where("relation_type = 'calls' AND callee_function_id IS NOT NULL").groupBy(F.col("callee_function_id").alias("id")).agg(F.count("*").alias("n"))

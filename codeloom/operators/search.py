@@ -37,11 +37,43 @@ def searched(entity: DataFrame, columns: list[str], terms: list[str], limit: int
     return entity.where(matches(columns, terms)).orderBy("id").limit(limit)
 
 
-def searched_many(index: DataFrame, questions: DataFrame, limit: int = 10) -> DataFrame:
-    """(question_id, id, rank) for many questions of single-token terms: (question_id, token) joined with the index."""
-    hits = index.join(questions.select("question_id", "token").distinct(), "token").select("question_id", "id").distinct()
+def _least_ids(hits: DataFrame, key: str, limit: int) -> DataFrame:
+    """The rows of the `limit` least ids of each key; partitions drop the rest before anything is shuffled."""
+    place = F.dense_rank().over(Window.partitionBy(key).orderBy("id"))
+    return hits.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place").distinct()
+
+
+def phrases_found(index: DataFrame, questions: DataFrame, limit: int = 10) -> DataFrame:
+    """(question_id, id, rank) for (question_id, phrase), phrases being token arrays: the least `limit` ids of each question.
+
+    The least ids of all its phrases are among the least ids of each of them, so a frequent word sends few rows on.
+    """
+    asked = questions.where("size(phrase) > 0").select("question_id", "phrase", F.array_join("phrase", " ").alias("key"))
+    parts = asked.select("key", "phrase").distinct().select("key", F.size("phrase").alias("size"), F.posexplode("phrase").alias("off", "token"))
+    single = index.join(parts.where("size = 1").select("key", "token"), "token").select("key", "id")
+    several = index.join(parts.where("size > 1"), "token").groupBy("key", "size", "field", "id", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n"))
+    hits = _least_ids(single, "key", limit).unionByName(_least_ids(several.where("n = size").select("key", "id"), "key", limit))
+    found = hits.join(asked.select("question_id", "key").distinct(), "key").select("question_id", "id").distinct()
     w = Window.partitionBy("question_id").orderBy("id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def searched_many(index: DataFrame, questions: DataFrame, limit: int = 10) -> DataFrame:
+    """(question_id, id, rank) for many questions of single-token terms, (question_id, token)."""
+    return phrases_found(index, questions.select("question_id", F.array("token").alias("phrase")), limit)
+
+
+def names_like(entity: DataFrame, column: str, questions: DataFrame, limit: int = 5) -> DataFrame:
+    """(question_id, id, rank) for (question_id, terms): up to `limit` ids per term, each at its first term, `limit` in all.
+
+    The terms of the questions, a stated set, are held against every row.
+    """
+    asked = questions.select("question_id", F.posexplode("terms").alias("term_at", "term")).withColumn("term", F.trim(F.replace("term", F.lit('"')))).where("term <> ''")
+    terms = asked.select("term").distinct()
+    hits = _least_ids(entity.select("id", F.col(column).alias("_text")).join(terms, contains_like(F.col("_text"), F.col("term"))).select("term", "id"), "term", limit)
+    first = hits.join(asked, "term").groupBy("question_id", "id").agg(F.min("term_at").alias("term_at"))
+    w = Window.partitionBy("question_id").orderBy("term_at", "id")
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("question_id", "id", "rank")
 
 
 def like_search(entity: DataFrame, columns: list[str], terms: list[str], limit: int = 5) -> DataFrame:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, validate
-from ..operators import graph, queue, tables
+from ..operators import queue, tables
 from ..session import table
 from ..streaming.watch import quiet_sessions
 
@@ -38,54 +35,20 @@ def body_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions.groupBy("file_id").agg(F.count("*").alias("functions"), F.sum(lines).alias("lines"), F.sum(F.length("body").cast("long")).alias("chars"), F.max(lines).cast("long").alias("longest"))
 
 
+# What the notes on cut contexts say, and the bulky parts that go first.
+CUT_NOTE, OMITTED_NOTE = "[Context truncated to fit ~{} tokens.]", "[Context truncated to fit ~{} tokens; large handler bodies and type definitions were omitted.]"
+HANDLER_BODY, DEFINITION = r"\n[ \t]+Handler body: .*(?=\n|\z)", r"(?s)\n[ \t]+Definition:\n.*?(?=\n\n\d+\.|\n\n[A-Z][A-Za-z]+:|\z)"
+
+
 def fitted(context: Column, max_tokens: int) -> Column:
     """A context within a token budget: bulky parts go first, then the end, at a line."""
     budget = max(500, max_tokens * 4)
-    without = F.regexp_replace(context, r"\n[ \t]+Handler body: .*(?=\n|\z)", "")
-    without = F.regexp_replace(without, r"(?s)\n[ \t]+Definition:\n.*?(?=\n\n\d+\.|\n\n[A-Z][A-Za-z]+:|\z)", "")
-    note = f"[Context truncated to fit ~{max_tokens} tokens; large handler bodies and type definitions were omitted.]"
+    without = F.regexp_replace(F.regexp_replace(context, HANDLER_BODY, ""), DEFINITION, "")
     cut = F.regexp_replace(F.substring(without, 1, budget), r"\n[^\n]*\z", "")
     return (
-        F.when(text.estimated_tokens(context) <= max_tokens, context).when(text.estimated_tokens(without) <= max_tokens, F.concat(without, F.lit("\n\n" + note)))
-        .otherwise(F.concat(cut, F.lit(f"\n\n[Context truncated to fit ~{max_tokens} tokens.]")))
-    )
-
-
-def function_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every function as a card, with the first five names it calls."""
-    functions, files, relationships = (table(spark, sf_dir, n) for n in ("functions", "files", "relationships"))
-    now = tables.latest(functions.select("id", "name", "file_id", "start_line", "signature", "purpose", "behavior_summary", "domain", "complexity", "updated_at"))
-    calls = graph.clean_edges(relationships).where("relation_type = 'calls'").select(F.col("caller_function_id").alias("id"), F.col("id").alias("edge_id"), "callee_name")
-    firsts = tables.one_per_key(calls, ["id", "callee_name"], [F.col("edge_id")])
-    place = F.row_number().over(Window.partitionBy("id").orderBy("edge_id"))
-    some = firsts.withColumn("place", place).where("place <= 5").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "callee_name"))), lambda s: s["callee_name"]), ", ").alias("calls"))
-    rows = now.join(files.select(F.col("id").alias("file_id"), "path"), "file_id", "left").join(some, "id", "left")
-    line = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), c))
-    card = F.concat_ws(
-        "\n", F.concat(F.lit("Function: "), "name"), F.concat(F.lit("Location: "), text.location(F.col("path"), F.col("start_line"))), F.concat(F.lit("Signature: "), "signature"),
-        line("Purpose: ", "purpose"), line("Behavior: ", "behavior_summary"), line("Domain: ", "domain"), line("Complexity: ", "complexity"), line("Calls: ", "calls"),
+        F.when(text.estimated_tokens(context) <= max_tokens, context).when(text.estimated_tokens(without) <= max_tokens, F.concat(without, F.lit("\n\n" + OMITTED_NOTE.format(max_tokens))))
+        .otherwise(F.concat(cut, F.lit("\n\n" + CUT_NOTE.format(max_tokens))))
     )
-    return rows.select("id", fitted(card, 3000).alias("card"))
-
-
-Provider = Callable[[list[str]], list[str]]
-
-
-def stub_provider(prompts: list[str]) -> list[str]:
-    """Deterministic replies to batch prompts, for runs without a network: one item per `name |` line."""
-    import json
-
-    return [json.dumps([{"function_name": line.split(" | ")[0], "purpose": f"{len(line)} characters", "domain": "utility", "complexity": "low", "side_effects": []} for line in p.split("\n") if " | " in line]) for p in prompts]
-
-
-def completed(prompts: DataFrame, provider: Provider) -> DataFrame:
-    """(batch, reply): the provider is called once per Arrow batch of prompts, in parallel over partitions."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"batch": frame["batch"], "reply": provider(frame["prompt"].tolist())})
-
-    return prompts.select("batch", "prompt").mapInPandas(run, "batch long, reply string")
 
 
 def batch_prompts(functions: DataFrame, waiting: DataFrame, size: int = 8) -> DataFrame:
@@ -101,26 +64,46 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_prompts(functions, table(spark, sf_dir, "analysis_queue")).select(F.col("batch").cast("long").alias("batch"), "prompt")
 
 
-def enriched(spark: SparkSession, sf_dir: str, provider: Provider = stub_provider) -> DataFrame:
-    """Replies to all batches, validated item by item; per batch and name the first item counts."""
-    replies = completed(prompts(spark, sf_dir), provider)
-    items = validate.validated_items(replies, "batch", "reply").where("error IS NULL")
+def own_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch, reply): for every batch of waiting functions, in queue order, their stored semantic fields as the JSON text of a reply."""
+    now = tables.latest(table(spark, sf_dir, "functions").select("id", "name", "purpose", "side_effects_json", "behavior_summary", "domain", "complexity", "updated_at"))
+    fields = now.select(
+        F.col("id").alias("function_id"),
+        F.struct(F.col("name").alias("function_name"), "purpose", F.from_json("side_effects_json", "array<string>").alias("side_effects"), F.col("behavior_summary").alias("behavior"), "domain", "complexity").alias("item"),
+    )
+    placed = queue.pending_batches(table(spark, sf_dir, "analysis_queue")).select("function_id", "rank", "batch").join(fields, "function_id")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.to_json("item").alias("item")))), lambda s: s["item"])
+    return placed.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.concat(F.lit("```json\n["), F.array_join(listed, ", "), F.lit("]\n```")).alias("reply"))
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the replies validated item by item; per batch and name the first item counts."""
+    items = validate.validated_items(own_replies(spark, sf_dir), "batch", "reply").where("error IS NULL")
     first = tables.one_per_key(items, ["id", "name"], [F.col("pos")])
     return first.select(F.col("id").alias("batch"), "name", "purpose", "domain", "complexity")
 
 
+def rejected_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the items that lack a field, with what is wrong."""
+    return validate.validated_items(own_replies(spark, sf_dir), "batch", "reply").where("error IS NOT NULL").select(F.col("id").alias("batch"), F.col("pos").cast("long").alias("pos"), "error")
+
+
 def quiet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of events of each user without a gap of more than ten minutes."""
     return quiet_sessions(table(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", "10 minutes")
 
 
-QUERIES = {f.__name__: f for f in (extracted_calls, body_measures, function_cards, prompts, enriched, quiet_runs)}
+QUERIES = {f.__name__: f for f in (extracted_calls, body_measures, prompts, enriched, rejected_items, quiet_runs)}
 
-_FN = "fn AS (SELECT * FROM functions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1)"
 _QUEUE = "qu AS (SELECT * REPLACE (lower(trim(status)) AS status) FROM analysis_queue QUALIFY row_number() OVER (PARTITION BY id ORDER BY processed_at DESC NULLS LAST, status) = 1)"
 _BATCHES = f"""{_QUEUE}, one AS (SELECT DISTINCT id, name, signature FROM functions),
 ra AS (SELECT function_id, row_number() OVER (ORDER BY priority DESC NULLS LAST, created_at NULLS LAST, id) AS rank FROM qu WHERE status = 'pending'),
 li AS (SELECT (rank - 1) // 8 AS batch, rank, name, name || ' | ' || signature AS line FROM ra JOIN one ON one.id = function_id)"""
+_DOMAIN = f"CASE WHEN lower(trim(domain)) IN ({', '.join(repr(d) for d in validate.DOMAINS)}) THEN lower(trim(domain)) ELSE 'other' END"
+_REPLIES = f"""{_BATCHES}, fn AS (SELECT * FROM functions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1),
+it AS (SELECT (rank - 1) // 8 AS batch, row_number() OVER (PARTITION BY (rank - 1) // 8 ORDER BY rank) - 1 AS pos, fn.*, concat_ws(', ', CASE WHEN purpose IS NULL THEN 'purpose' END,
+ CASE WHEN coalesce(CASE WHEN json_valid(side_effects_json) THEN json_type(side_effects_json) END, '') <> 'ARRAY' THEN 'side_effects' END, CASE WHEN behavior_summary IS NULL THEN 'behavior' END, CASE WHEN domain IS NULL THEN 'domain' END, CASE WHEN complexity IS NULL THEN 'complexity' END) AS missing
+ FROM ra JOIN fn ON fn.id = function_id)"""
 
 ORACLE = {
     "extracted_calls": f"""WITH one AS (SELECT DISTINCT id, name, body FROM functions), c AS (SELECT DISTINCT id, string_split(name, '.')[-1] AS own,
@@ -128,13 +111,10 @@ ORACLE = {
 SELECT id, callee_name FROM c WHERE callee_name <> own AND callee_name NOT IN ({', '.join(repr(n) for n in NOT_CALLED)})""",
     "body_measures": """WITH one AS (SELECT DISTINCT id, file_id, body FROM functions)
 SELECT file_id, count(*) AS functions, sum(len(string_split(body, chr(10))))::BIGINT AS lines, sum(length(body))::BIGINT AS chars, max(len(string_split(body, chr(10))))::BIGINT AS longest FROM one GROUP BY file_id""",
-    "function_cards": f"""WITH {_FN}, ed AS (SELECT min(id) AS id, caller_function_id, callee_name FROM relationships WHERE caller_function_id IS NOT NULL AND lower(trim(relation_type)) = 'calls' GROUP BY 2, 3),
-ca AS (SELECT caller_function_id AS id, string_agg(callee_name, ', ' ORDER BY ed.id) AS calls FROM (SELECT * FROM ed QUALIFY row_number() OVER (PARTITION BY caller_function_id ORDER BY id) <= 5) ed GROUP BY 1)
-SELECT fn.id, concat_ws(chr(10), 'Function: ' || name, 'Location: ' || coalesce(p.path, 'unknown') || ':' || start_line, 'Signature: ' || signature, CASE WHEN purpose <> '' THEN 'Purpose: ' || purpose END,
- CASE WHEN behavior_summary <> '' THEN 'Behavior: ' || behavior_summary END, CASE WHEN domain <> '' THEN 'Domain: ' || domain END, CASE WHEN complexity <> '' THEN 'Complexity: ' || complexity END, CASE WHEN calls <> '' THEN 'Calls: ' || calls END) AS card
-FROM fn LEFT JOIN files p ON p.id = fn.file_id LEFT JOIN ca ON ca.id = fn.id""",
     "prompts": f"WITH {_BATCHES} SELECT batch, string_agg(line, chr(10) ORDER BY rank) AS prompt FROM li GROUP BY batch",
-    "enriched": f"WITH {_BATCHES} SELECT batch, name, length(line) || ' characters' AS purpose, 'utility' AS domain, 'low' AS complexity FROM li QUALIFY row_number() OVER (PARTITION BY batch, name ORDER BY rank) = 1",
+    "enriched": f"""WITH {_REPLIES} SELECT batch, trim(name) AS name, trim(regexp_replace(purpose, '\\s+', ' ', 'g')) AS purpose, {_DOMAIN} AS domain,
+ CASE WHEN lower(trim(complexity)) IN ('low', 'medium', 'high') THEN lower(trim(complexity)) ELSE 'medium' END AS complexity FROM it WHERE missing = '' QUALIFY row_number() OVER (PARTITION BY batch, trim(name) ORDER BY pos) = 1""",
+    "rejected_items": f"WITH {_REPLIES} SELECT batch, pos, 'missing fields: ' || missing AS error FROM it WHERE missing <> ''",
     "quiet_runs": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
 SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_events FROM g GROUP BY user_id, run""",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, validate
-from ..operators import changes, graph, queue, search, tables
+from ..operators import changes, graph, ingest, queue, search, tables
 from ..session import table
 
 #: Search terms that the queries use; the generated texts hold all of them.
@@ -155,19 +157,59 @@ def file_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("path", F.col("file_id").alias("kept_id"), "analysed", "functions")
 
 
+def _next_files(files: DataFrame) -> DataFrame:
+    """(path, content_hash): the next state of all files, under one spelling of their paths, with test files edited."""
+    path = text.repo_path(F.col("path"))
+    edited = F.when(F.contains(path, F.lit(".test.")), F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))
+    return files.groupBy(path.alias("path")).agg(F.min(edited).alias("content_hash"))
+
+
 def upserted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of even ids are the state, all files of ids divisible by 3 come in anew with another hash."""
+    """M1: all files, into which their next state is put; spellings that are new get ids after the largest."""
     files = _t(spark, sf_dir, "files").select("id", "path", "content_hash")
-    state = files.where("id % 2 = 0")
-    new = files.where("id % 3 = 0").select("path", F.sha2("content_hash", 256).alias("content_hash"))
-    return tables.upserted(state, new, "path", "id")
+    return tables.upserted(files, _next_files(files), "path", "id")
 
 
 def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added, changed, unchanged and removed files between two states of the tree."""
     files = _t(spark, sf_dir, "files").select("id", "path", "content_hash")
-    new = files.where("id % 3 <> 0").select("path", F.when(F.col("id") % 5 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")).alias("content_hash"))
-    return changes.file_changes(files.where("id % 7 <> 0"), new)
+    return changes.file_changes(files, _next_files(files))
+
+
+def _state(spark: SparkSession, sf_dir: str) -> ingest.Graph:
+    files, functions, routes, constants, relationships, waiting = _t(spark, sf_dir, "files", "functions", "routes", "constants", "relationships", "analysis_queue")
+    return ingest.Graph(files, tables.latest(functions), routes.dropDuplicates(["id"]), constants.dropDuplicates(["id"]), graph.clean_edges(relationships), queue.entries(waiting))
+
+
+def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next state of all files is read into the tables; async functions of it have another signature, all another body."""
+    state = _state(spark, sf_dir)
+    paths = state.files.select(F.col("id").alias("file_id"), text.repo_path(F.col("path")).alias("_path"))
+    of = lambda df: df.join(paths, "file_id").drop("file_id", "id")
+    body = F.concat(F.lit("x"), F.replace("body", F.lit("\n"), F.lit("\nx")))
+    fields = ["name", "signature", "body", "code_hash", "start_line", "end_line", "is_exported", "is_async"]
+    functions = of(state.functions).select(F.col("_path").alias("path"), *fields).withColumns({"body": body, "signature": F.when(F.col("is_async"), F.concat("signature", F.lit(" "))).otherwise(F.col("signature")), "code_hash": F.sha2(body, 256)})
+    routes = of(state.routes).withColumnRenamed("path", "route_path").withColumnRenamed("_path", "path")
+    constants = of(state.constants).withColumnRenamed("_path", "path")
+    callers = state.functions.join(paths, "file_id").select(F.col("id").alias("caller_function_id"), F.col("_path").alias("path"), F.col("name").alias("caller_name"))
+    calls = state.relationships.join(callers, "caller_function_id").select("path", "caller_name", "callee_name", "relation_type")
+    return ingest.ingested(state, _next_files(state.files), functions, routes, constants, calls)[1]
+
+
+def counts_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of every table when all test files are deleted with what belongs to them."""
+    state = _state(spark, sf_dir)
+    left = ingest.without_files(state, state.files.where(F.contains("path", F.lit(".test."))).select("id"))
+    counts = [getattr(left, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in ingest.Graph.__annotations__]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def entities_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions, routes and constants of every file, with their places."""
+    files, functions, routes, constants = _t(spark, sf_dir, "files", "functions", "routes", "constants")
+    named = {"function": (functions, F.col("name")), "route": (routes, F.concat_ws(" ", F.upper("method"), "path")), "constant": (constants, F.col("name"))}
+    rows = [df.select(F.lit(kind).alias("kind"), "id", "file_id", name.alias("name"), "start_line").distinct() for kind, (df, name) in named.items()]
+    return reduce(DataFrame.unionByName, rows).join(files.select(F.col("id").alias("file_id"), "path"), "file_id", "left").select("kind", "id", "file_id", "name", text.location(F.col("path"), F.col("start_line")).alias("location"))
 
 
 def edges_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +227,28 @@ def current_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select("id", "name", "purpose", "domain", "complexity", F.array_join(validate.side_effects(F.col("side_effects_json")), "; ").alias("effects"), "code_hash")
 
 
+def updated_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: the semantic fields of each function's last delivery put over those of its first, where they are given."""
+    rows = _t(spark, sf_dir, "functions").select("id", "purpose", "domain", "complexity", "updated_at")
+    first = tables.one_per_key(rows, ["id"], [F.col("updated_at").asc_nulls_first()]).drop("updated_at")
+    return tables.updated(first, tables.latest(rows), "id", ["purpose", "domain", "complexity"])
+
+
+def queue_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waiting entries of functions that are analysed are done, at the time of the analysis."""
+    functions, waiting = _t(spark, sf_dir, "functions", "analysis_queue")
+    entries = queue.entries(waiting)
+    analysed = tables.latest(functions.select("id", "semantic_analyzed_at", "updated_at")).where("semantic_analyzed_at IS NOT NULL").select(F.col("id").alias("function_id"), F.col("semantic_analyzed_at").alias("at"))
+    done = entries.where("status = 'pending'").join(analysed, "function_id").select("id", "at")
+    return queue.processed(entries, done, "done").select("id", "status", F.unix_micros("processed_at").alias("processed_us"))
+
+
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repository path and the name of every file."""
+    files = _t(spark, sf_dir, "files")
+    return files.select("id", text.repo_path(F.col("path")).alias("repo_path"), text.base_name(F.col("path")).alias("name"))
+
+
 def code_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash and cache key of every body, and whether the stored hash holds."""
     one = _t(spark, sf_dir, "functions").select("id", "body", "code_hash").dropDuplicates(["id"])
@@ -285,7 +349,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         function_by_name, unique_function_names, functions_of_file, domain_functions, exported_constants, not_analysed, kept_edges, bound_edges, callers_of_functions, callees_of_functions, impact,
-        search_index, search_functions, search_routes, search_many, search_constants, search_route_paths, file_keepers, upserted_files, file_status, edges_after_delete, current_functions,
+        search_index, search_functions, search_routes, search_many, search_constants, search_route_paths, file_keepers, upserted_files, file_status, ingest_totals, counts_after_delete, entities_of_files, edges_after_delete, current_functions, updated_functions, queue_processed, path_parts,
         code_hashes, changed_functions, queue_top, queue_batches, to_enqueue, statistics, route_cards, document_tokens, question_strategies,
     )
 }
@@ -294,6 +358,7 @@ QUERIES = {
 
 _FN = "fn AS (SELECT * FROM functions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1)"
 _PATH = r"regexp_replace(replace({}, '\', '/'), '^\./+', '')"
+_NEXT = f"n AS (SELECT {_PATH.format('path')} AS path, min(CASE WHEN contains(path, '.test.') THEN sha256(content_hash) ELSE content_hash END) AS content_hash FROM files GROUP BY 1)"
 _EDGES = "ed AS (SELECT min(id) AS id, caller_function_id, callee_function_id, callee_name, lower(trim(relation_type)) AS relation_type FROM relationships WHERE caller_function_id IS NOT NULL GROUP BY ALL)"
 _EDGES = _EDGES.replace("GROUP BY ALL", "GROUP BY 2, 3, 4, 5")
 _NAMED = "nm AS (SELECT f.id, any_value(f.name) AS name, any_value(coalesce(p.path, 'unknown') || ':' || f.start_line) AS location, any_value(f.file_id) AS file_id FROM functions f LEFT JOIN files p ON p.id = f.file_id GROUP BY f.id)"
@@ -353,15 +418,37 @@ SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY id)
     "search_route_paths": "SELECT DISTINCT id, method, path FROM routes WHERE path ILIKE '%/t_a%' AND upper(method) = 'GET'",
     "file_keepers": f"""WITH {_FN}, c AS (SELECT f.id, {_PATH.format('f.path')} AS path, count(fn.id) AS functions, count(fn.semantic_analyzed_at) AS analysed FROM files f LEFT JOIN fn ON fn.file_id = f.id GROUP BY 1, 2)
 SELECT path, id AS kept_id, analysed, functions FROM c QUALIFY row_number() OVER (PARTITION BY path ORDER BY analysed DESC, functions DESC, id) = 1""",
-    "upserted_files": """WITH b AS (SELECT id, path, content_hash FROM files WHERE id % 2 = 0), n AS (SELECT path, sha256(content_hash) AS content_hash FROM files WHERE id % 3 = 0)
-SELECT b.id, b.path, coalesce(n.content_hash, b.content_hash) AS content_hash FROM b LEFT JOIN n USING (path)
-UNION ALL SELECT (SELECT max(id) FROM b) + row_number() OVER (ORDER BY encode(path)), path, content_hash FROM n WHERE path NOT IN (SELECT path FROM b)""",
-    "file_status": """WITH o AS (SELECT path, content_hash AS h FROM files WHERE id % 7 <> 0), n AS (SELECT path, CASE WHEN id % 5 = 0 THEN sha256(content_hash) ELSE content_hash END AS h FROM files WHERE id % 3 <> 0)
-SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.h IS NOT DISTINCT FROM n.h THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.path = n.path""",
+    "upserted_files": f"""WITH {_NEXT}
+SELECT b.id, b.path, coalesce(n.content_hash, b.content_hash) AS content_hash FROM files b LEFT JOIN n USING (path)
+UNION ALL SELECT (SELECT max(id) FROM files) + row_number() OVER (ORDER BY encode(path)), path, content_hash FROM n WHERE path NOT IN (SELECT path FROM files)""",
+    "file_status": f"""WITH {_NEXT} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.content_hash IS NOT DISTINCT FROM n.content_hash THEN 'unchanged' ELSE 'changed' END AS status
+FROM files o FULL JOIN n ON o.path = n.path""",
+    "ingest_totals": rf"""WITH {_NEXT}, {_FN}, st AS (SELECT n.path, o.id AS old_id, CASE WHEN o.path IS NULL THEN 'added' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'changed' END AS s FROM n LEFT JOIN files o ON o.path = n.path),
+pa AS (SELECT id AS file_id, {_PATH.format('path')} AS path FROM files), tf AS (SELECT pa.file_id, st.* FROM pa JOIN st USING (path) WHERE s <> 'unchanged'),
+nf AS (SELECT fn.*, tf.path, tf.old_id, tf.s, 'x' || replace(body, chr(10), chr(10) || 'x') AS new_body FROM fn JOIN tf USING (file_id)),
+ol AS (SELECT file_id, name, body, signature, code_hash FROM fn QUALIFY row_number() OVER (PARTITION BY file_id, name ORDER BY id DESC) = 1),
+df AS (SELECT nf.s, ol.code_hash AS oh, ol.signature IS DISTINCT FROM CASE WHEN nf.is_async THEN nf.signature || ' ' ELSE nf.signature END AS sig,
+ list_distinct(list_transform(string_split(coalesce(ol.body, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS a, list_distinct(list_transform(string_split(nf.new_body, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS b,
+ greatest(len(string_split(coalesce(ol.body, ''), chr(10))), len(string_split(nf.new_body, chr(10))), 1) AS m FROM nf LEFT JOIN ol ON nf.s = 'changed' AND ol.file_id = nf.old_id AND ol.name = nf.name),
+{_EDGES}, ca AS (SELECT DISTINCT tf.path, fn.name, callee_name, relation_type FROM ed JOIN fn ON fn.id = caller_function_id JOIN tf USING (file_id))
+SELECT (SELECT count(*) FROM st WHERE s = 'added') AS new_files, (SELECT count(*) FROM st WHERE s = 'changed') AS changed_files, (SELECT count(*) FROM st WHERE s = 'unchanged') AS unchanged_files,
+ (SELECT count(*) FROM nf) AS functions, (SELECT count(DISTINCT r.id) FROM routes r JOIN tf USING (file_id)) AS routes, (SELECT count(DISTINCT c.id) FROM constants c JOIN tf USING (file_id)) AS constants, (SELECT count(*) FROM ca) AS relationships,
+ (SELECT count(*) FROM df WHERE oh IS NULL OR sig OR (len(list_filter(a, lambda x: NOT list_contains(b, x))) + len(list_filter(b, lambda x: NOT list_contains(a, x)))) / m > 0.3) AS queued""",
+    "counts_after_delete": f"""WITH {_FN}, {_EDGES}, {_QUEUE}, g AS (SELECT id FROM files WHERE contains(path, '.test.')), gf AS (SELECT id FROM fn WHERE file_id IN (SELECT id FROM g))
+SELECT 'files' AS name, count(*) AS n FROM files WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'functions', count(*) FROM fn WHERE file_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'routes', count(DISTINCT id) FROM routes WHERE file_id NOT IN (SELECT id FROM g) UNION ALL SELECT 'constants', count(DISTINCT id) FROM constants WHERE file_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'relationships', count(*) FROM ed WHERE caller_function_id NOT IN (SELECT id FROM gf) UNION ALL SELECT 'analysis_queue', count(*) FROM qu WHERE function_id NOT IN (SELECT id FROM gf)""",
+    "entities_of_files": """WITH e AS (SELECT 'function' AS kind, id, file_id, name, start_line FROM functions UNION SELECT 'route', id, file_id, concat_ws(' ', upper(method), path), start_line FROM routes UNION SELECT 'constant', id, file_id, name, start_line FROM constants)
+SELECT kind, e.id, file_id, name, coalesce(p.path, 'unknown') || ':' || start_line AS location FROM e LEFT JOIN files p ON p.id = file_id""",
     "edges_after_delete": f"""WITH {_EDGES}, gone AS (SELECT x.id FROM functions x JOIN files f ON f.id = x.file_id WHERE contains(f.path, '.test.'))
 SELECT id, caller_function_id, CASE WHEN callee_function_id IN (SELECT id FROM gone) THEN NULL ELSE callee_function_id END AS callee_function_id, callee_name, relation_type FROM ed WHERE caller_function_id NOT IN (SELECT id FROM gone)""",
     "current_functions": f"""WITH {_FN} SELECT id, name, purpose, domain, complexity, CASE WHEN side_effects_json IS NULL OR trim(side_effects_json) = '' OR trim(side_effects_json)[1] = '{{' THEN ''
  WHEN json_valid(side_effects_json) THEN array_to_string(from_json(side_effects_json, '["VARCHAR"]'), '; ') WHEN trim(side_effects_json)[1] = '[' THEN '' ELSE trim(side_effects_json) END AS effects, code_hash FROM fn""",
+    "updated_functions": """WITH a AS (SELECT * FROM functions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at NULLS FIRST) = 1), b AS (SELECT * FROM functions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1)
+SELECT id, coalesce(b.purpose, a.purpose) AS purpose, coalesce(b.domain, a.domain) AS domain, coalesce(b.complexity, a.complexity) AS complexity FROM a JOIN b USING (id)""",
+    "queue_processed": f"""WITH {_FN}, {_QUEUE} SELECT qu.id, CASE WHEN status = 'pending' AND semantic_analyzed_at IS NOT NULL THEN 'done' ELSE status END AS status,
+ epoch_us(CASE WHEN status = 'pending' AND semantic_analyzed_at IS NOT NULL THEN semantic_analyzed_at ELSE processed_at END) AS processed_us FROM qu LEFT JOIN fn ON fn.id = function_id""",
+    "path_parts": f"SELECT id, {_PATH.format('path')} AS repo_path, regexp_split_to_array(path, '[/\\\\]')[-1] AS name FROM files",
     "code_hashes": "SELECT DISTINCT id, sha256(body) = code_hash AS holds, sha256('v1|stub|' || sha256(body)) AS cache_key FROM functions",
     "changed_functions": r"""WITH one AS (SELECT DISTINCT id, file_id, start_line, signature, body, code_hash, is_exported FROM functions),
 o AS (SELECT *, lag(code_hash) OVER w AS oh, lag(signature) OVER w AS os, lag(body) OVER w AS ob FROM one WINDOW w AS (PARTITION BY file_id ORDER BY start_line, id)),

@@ -27,9 +27,3 @@ def test_context_fits_its_budget(spark):
 def test_first_line_only_of_a_long_handler(spark):
     text = "x\n   Handler body: a\nb\n" + "c" * 4000
     assert "\nb\n" in one(spark, activity.fitted(F.lit(text), 100)) + "\nb\n"
-
-
-def test_provider_runs_per_partition(spark):
-    prompts = spark.createDataFrame([(0, "a | sig\nb | sig"), (1, "")], "batch long, prompt string")
-    replies = {r.batch: r.reply for r in activity.completed(prompts, activity.stub_provider).collect()}
-    assert '"function_name": "b"' in replies[0] and replies[1] == "[]"

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,9 +85,29 @@ def test_fallback_keywords(spark):
     assert one(spark, classify.fallback_keywords(F.lit("how are the tokens kept"))) == ["tokens", "kept"]
 
 
+def item(**changes):
+    base = {"function_name": " a\t", "purpose": "p\n  q", "side_effects": ["x  y", 3], "behavior": "", "domain": " UI", "complexity": "HIGH"} | changes
+    return {k: v for k, v in base.items() if v != "gone"}
+
+
 def test_validated_items(spark):
-    good = '```json\n[{"function_name":"a","purpose":"p","side_effects":"x","domain":"UI","complexity":"low"},{"purpose":"p"},{"name":"b"}]\n```'
-    rows = validate.validated_items(spark.createDataFrame([(1, good), (2, "no json"), (3, "[]")], "id long, reply string"), "id", "reply").collect()
+    replies = [
+        (1, "Sure:\n```json\n" + json.dumps([item(), item(side_effects="one", domain="cats", complexity=""), item(side_effects=""), item(behavior="gone", domain="gone"), item(function_name="  ")]) + "\n```"),
+        (2, json.dumps([item(purpose=5), item(side_effects=None), item(behavior=None), item(domain=None), 7])),
+        (3, "no json"), (4, "[]"), (5, "{}"), (6, None), (7, "```\n[]\n```"), (8, json.dumps([item()])),
+    ]
+    rows = validate.validated_items(spark.createDataFrame(replies, "id long, reply string"), "id", "reply").collect()
     by = {(r.id, r.pos): r for r in rows}
-    assert by[1, 0].domain == "ui" and by[1, 0].side_effects == ["x"] and by[1, 0].error is None
-    assert by[1, 1].error == "no name" and by[1, 2].error == "no purpose" and by[2, -1].error == "not an array"
+    assert len(by) == len(rows)
+    good = by[8, 0]
+    assert (good.name, good.purpose, good.side_effects, good.behavior, good.domain, good.complexity, good.error) == ("a", "p q", ["x y", "3"], "", "ui", "high", None)
+    errors = {k: r.error for k, r in by.items() if r.error}
+    assert errors == {
+        (1, -1): "JSON parse error", (2, 0): "purpose must be a string", (2, 1): "side_effects must be an array", (2, 2): "behavior must be a string",
+        (2, 4): "missing fields: function_name, purpose, side_effects, behavior, domain, complexity", (3, -1): "JSON parse error", (5, -1): "Response is not a JSON array",
+        (6, -1): "JSON parse error", (7, -1): "JSON parse error",
+    }
+    assert by[2, 3].domain == "other"
+    fenced = validate.validated_items(spark.createDataFrame([(1, replies[0][1][6:])], "id long, reply string"), "id", "reply").orderBy("pos").collect()
+    assert [r.error for r in fenced] == [None, None, None, "missing fields: behavior, domain", "function_name must be a non-empty string"]
+    assert fenced[1].side_effects == ["one"] and fenced[1].domain == "other" and fenced[1].complexity == "medium" and fenced[2].side_effects == []
