@@ -1,16 +1,21 @@
 """Long exact spans that records share, found through compact windows.
 
-Tokens are the q-grams at every character position. Over a record's token hashes, the nodes of the Cartesian tree that
-reach over at least w tokens are its compact windows: every stretch of w tokens lies in exactly one of them, namely the
-one whose minimum is the stretch's min-hash. Two equal stretches have equal minima at equal places, so they lie in windows
-that share their key. For exact spans one hash function finds every match, more would only add rows; the interval join
-of windows with equal keys needs no pairs either, as a character is shared as soon as its stretch has two owners:
+Tokens are the q-grams at every character position. A compact window is a node of the Cartesian tree over a record's token
+hashes: all stretches around one token that is their least. For verbatim spans only its stretches of the shortest length that
+counts, w tokens, are needed, as a longer span is a run of such. They begin at neighbouring places, so they are read off a
+sliding minimum of width w, without building the tree: the rows are those that the tree's nodes, cut to length w, would give
+(these are also known as minimiser windows). Every stretch of w tokens lies in exactly one window. Equal stretches have equal
+minima at equal places, so they lie in windows that share their key. For verbatim spans one hash function finds every match,
+more would only add rows; near-duplicate passages, for which the whole nodes and several hashes would be needed, aren't looked
+for. The interval join of windows with equal keys needs no pairs either, as a character is shared as soon as its stretch has
+two owners:
 
 1. Windows whose key only one record has are left out; that is most of them.
 2. Of the rest, a window content (by hash) with two owners is shared altogether.
 3. Where a key has several contents, one holder of each content gives its characters, and every stretch of them that has
    two owners is shared (the verification by interval; one row per distinct content, however many records repeat it).
-   Keys with up to `KEY_CONTENTS` contents are verified together; the stretches of larger keys are shuffled one by one.
+   Keys with up to `KEY_CONTENTS` contents are verified together; the stretches of larger keys are shuffled one by one. Both
+   ways are exact.
 4. Shared stretches go back to all windows with their content and are merged per record.
 """
 
