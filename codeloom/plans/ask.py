@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, text, validate
 from ..operators import graph, search, tables
 from ..session import table, written
+from ..sources.report import mode_averages
 from .activity import fitted
 
 BUDGET = 3000
@@ -245,6 +246,22 @@ def function_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return function_texts(entries, functions, files, relationships).select(F.col("entity_id").alias("id"), fitted(F.col("text"), BUDGET).alias("card"))
 
 
+def token_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of the card of each function against those of all code, which a question without a graph needs."""
+    cards = function_cards(spark, sf_dir).select(F.lit("graph").alias("mode"), text.estimated_tokens(F.col("card")).alias("total_tokens"))
+    code = table(spark, sf_dir, "functions").select("id", "body").dropDuplicates(["id"]).agg(F.sum(text.estimated_tokens(F.col("body"))).alias("total_tokens"))
+    runs = cards.unionByName(code.select(F.lit("traditional").alias("mode"), "total_tokens")).withColumns({"cost_usd": F.lit(0.0), "response_time_ms": F.lit(0)})
+    averages = mode_averages(runs)
+    return averages.select(*[F.round(c, 6).alias(c) for c in ("traditional_total_tokens", "graph_total_tokens", "total_tokens_reduction")])
+
+
+def route_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every route as a part of a prompt, with its body cut to a thousand characters."""
+    routes = table(spark, sf_dir, "routes").dropDuplicates(["id"])
+    line = F.concat_ws(" ", "method", "path")
+    return routes.select("id", F.concat_ws("\n", line, F.concat(F.lit("Handler: "), F.coalesce("handler_name", F.lit("inline"))), F.substring("handler_body", 1, 1000)).alias("part"))
+
+
 def questions_of(functions: DataFrame) -> DataFrame:
     """One question per function whose id is divisible by 50, worded by its id."""
     names = graph.first_by_name(functions).where("id % 50 = 0")
@@ -313,7 +330,7 @@ def question_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.one_per_key(items, ["key"], [F.desc("item_id")])
 
 
-QUERIES = {f.__name__: f for f in (ask_entries, ask_contexts, ask_other_entries, ask_other_contexts, function_cards, question_cache)}
+QUERIES = {f.__name__: f for f in (ask_entries, ask_contexts, ask_other_entries, ask_other_contexts, function_cards, token_savings, route_prompts, question_cache)}
 
 _FN = """fn AS (SELECT f.*, coalesce(p.path, 'unknown') || ':' || f.start_line AS location FROM
  (SELECT * FROM functions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) = 1) f LEFT JOIN files p ON p.id = f.file_id),
@@ -365,11 +382,16 @@ cb AS (SELECT id, string_agg(coalesce(name, 'unknown'), ', ' ORDER BY o) AS call
  FROM ed JOIN fn ON callee_function_id = fn.id OR callee_name = fn.name GROUP BY 1, 2) e LEFT JOIN fn c ON c.id = e.caller_function_id) GROUP BY id)"""
 _FIT = r"CASE WHEN ceil(length({0}) / 4) <= 3000 THEN {0} ELSE regexp_replace(substring({0}, 1, 12000), '\n[^\n]*$', '') || chr(10) || chr(10) || '[Context truncated to fit ~3000 tokens.]' END"
 
+_FUNCTION_CARDS = f"""{_FN}, {_CARDS}, c AS (SELECT id, concat_ws(chr(10), 'Function: ' || name, 'Location: ' || location, 'Signature: ' || signature, CASE WHEN purpose <> '' THEN 'Purpose: ' || purpose END, CASE WHEN behavior_summary <> '' THEN 'Behavior: ' || behavior_summary END,
+ CASE WHEN effects <> '' THEN 'Side Effects: ' || effects END, CASE WHEN domain <> '' THEN 'Domain: ' || domain END, CASE WHEN complexity <> '' THEN 'Complexity: ' || complexity END, CASE WHEN calls <> '' THEN 'Calls: ' || calls END, CASE WHEN called_by <> '' THEN 'Called By: ' || called_by END) AS t
+ FROM ef LEFT JOIN ca USING (id) LEFT JOIN cb USING (id)), ra AS (SELECT id, {_FIT.format('t')} AS card FROM c)"""
+
 ORACLE = {
     "ask_entries": _ASKED + " SELECT * FROM nu",
     "ask_other_entries": _OTHERS + " SELECT * FROM nu",
-    "function_cards": f"""WITH {_FN}, {_CARDS}, c AS (SELECT id, concat_ws(chr(10), 'Function: ' || name, 'Location: ' || location, 'Signature: ' || signature, CASE WHEN purpose <> '' THEN 'Purpose: ' || purpose END, CASE WHEN behavior_summary <> '' THEN 'Behavior: ' || behavior_summary END,
- CASE WHEN effects <> '' THEN 'Side Effects: ' || effects END, CASE WHEN domain <> '' THEN 'Domain: ' || domain END, CASE WHEN complexity <> '' THEN 'Complexity: ' || complexity END, CASE WHEN calls <> '' THEN 'Calls: ' || calls END, CASE WHEN called_by <> '' THEN 'Called By: ' || called_by END) AS t
- FROM ef LEFT JOIN ca USING (id) LEFT JOIN cb USING (id)) SELECT id, {_FIT.format('t')} AS card FROM c""",
+    "function_cards": f"WITH {_FUNCTION_CARDS} SELECT id, card FROM ra",
+    "token_savings": f"""WITH {_FUNCTION_CARDS}, t AS (SELECT (SELECT sum(ceil(length(body) / 4)) FROM (SELECT DISTINCT id, body FROM functions)) AS a, (SELECT avg(ceil(length(card) / 4)) FROM ra) AS b)
+SELECT round(a::DOUBLE, 6) AS traditional_total_tokens, round(b, 6) AS graph_total_tokens, round((a - b) / a * 100, 6) AS total_tokens_reduction FROM t""",
+    "route_prompts": "SELECT DISTINCT id, concat_ws(chr(10), concat_ws(' ', method, path), 'Handler: ' || coalesce(handler_name, 'inline'), substring(handler_body, 1, 1000)) AS part FROM routes",
     "question_cache": "SELECT item_id, answer, sha256(lower(trim(question)) || '|stub') AS key FROM eval_items QUALIFY row_number() OVER (PARTITION BY key ORDER BY item_id DESC) = 1",
 }

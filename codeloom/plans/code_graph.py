@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, text, validate
 from ..operators import changes, graph, ingest, queue, search, tables
 from ..session import table
+from ..streaming.watch import flush_outcomes
 
 #: Search terms that the queries use; the generated texts hold all of them.
 TERMS = ["slow cache", "tenant*", "noisy-row", "AND"]
@@ -157,6 +158,21 @@ def file_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("path", F.col("file_id").alias("kept_id"), "analysed", "functions")
 
 
+def merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: of the spellings of one path only the kept row stays, under the one spelling, and the others go with what belongs to them."""
+    state = _state(spark, sf_dir)
+    kept = file_keepers(spark, sf_dir)
+    gone = state.files.select("id").join(kept.select(F.col("kept_id").alias("id")), "id", "left_anti")
+    left = ingest.without_files(state, gone)
+    counts = left.functions.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("functions"))
+    return left.files.join(counts, "id", "left").select("id", text.repo_path(F.col("path")).alias("path"), F.coalesce("functions", F.lit(0)).alias("functions"))
+
+
+def change_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of reading the next state of all files, by status."""
+    return flush_outcomes(file_status(spark, sf_dir))
+
+
 def _next_files(files: DataFrame) -> DataFrame:
     """(path, content_hash): the next state of all files, under one spelling of their paths, with test files edited."""
     path = text.repo_path(F.col("path"))
@@ -349,7 +365,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         function_by_name, unique_function_names, functions_of_file, domain_functions, exported_constants, not_analysed, kept_edges, bound_edges, callers_of_functions, callees_of_functions, impact,
-        search_index, search_functions, search_routes, search_many, search_constants, search_route_paths, file_keepers, upserted_files, file_status, ingest_totals, counts_after_delete, entities_of_files, edges_after_delete, current_functions, updated_functions, queue_processed, path_parts,
+        search_index, search_functions, search_routes, search_many, search_constants, search_route_paths, file_keepers, upserted_files, file_status, merged_files, change_outcomes, ingest_totals, counts_after_delete, entities_of_files, edges_after_delete, current_functions, updated_functions, queue_processed, path_parts,
         code_hashes, changed_functions, queue_top, queue_batches, to_enqueue, statistics, route_cards, document_tokens, question_strategies,
     )
 }
@@ -423,6 +439,10 @@ SELECT b.id, b.path, coalesce(n.content_hash, b.content_hash) AS content_hash FR
 UNION ALL SELECT (SELECT max(id) FROM files) + row_number() OVER (ORDER BY encode(path)), path, content_hash FROM n WHERE path NOT IN (SELECT path FROM files)""",
     "file_status": f"""WITH {_NEXT} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.content_hash IS NOT DISTINCT FROM n.content_hash THEN 'unchanged' ELSE 'changed' END AS status
 FROM files o FULL JOIN n ON o.path = n.path""",
+    "merged_files": f"""WITH {_FN}, c AS (SELECT f.id, {_PATH.format('f.path')} AS path, count(fn.id) AS functions, count(fn.semantic_analyzed_at) AS analysed FROM files f LEFT JOIN fn ON fn.file_id = f.id GROUP BY 1, 2)
+SELECT id, path, functions FROM c QUALIFY row_number() OVER (PARTITION BY path ORDER BY analysed DESC, functions DESC, id) = 1""",
+    "change_outcomes": f"""WITH {_NEXT}, s AS (SELECT CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.content_hash IS NOT DISTINCT FROM n.content_hash THEN 'unchanged' ELSE 'changed' END AS status
+FROM files o FULL JOIN n ON o.path = n.path) SELECT status, count(*) AS n FROM s WHERE status <> 'unchanged' GROUP BY 1""",
     "ingest_totals": rf"""WITH {_NEXT}, {_FN}, st AS (SELECT n.path, o.id AS old_id, CASE WHEN o.path IS NULL THEN 'added' WHEN o.content_hash = n.content_hash THEN 'unchanged' ELSE 'changed' END AS s FROM n LEFT JOIN files o ON o.path = n.path),
 pa AS (SELECT id AS file_id, {_PATH.format('path')} AS path FROM files), tf AS (SELECT pa.file_id, st.* FROM pa JOIN st USING (path) WHERE s <> 'unchanged'),
 nf AS (SELECT fn.*, tf.path, tf.old_id, tf.s, 'x' || replace(body, chr(10), chr(10) || 'x') AS new_body FROM fn JOIN tf USING (file_id)),

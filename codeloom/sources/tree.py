@@ -15,15 +15,16 @@ DEFAULT_IGNORED = ["dist", "build", "out", ".next", "coverage", ".cache"]
 
 
 def ignore_patterns(gitignore: str = "") -> list[str]:
-    """Regular expressions over repository paths for the lines of an ignore file; negations and comments are left out."""
+    """Regular expressions over repository paths for the lines of an ignore file, in order; a leading `!` takes paths back in."""
     out = []
     for line in [*DEFAULT_IGNORED, *gitignore.split("\n")]:
         line = line.strip()
-        if not line or line[0] in "#!":
+        if not line or line[0] == "#":
             continue
+        sign, line = ("!", line[1:]) if line[0] == "!" else ("", line)
         anchored, rule = "/" in line.rstrip("/"), line.strip("/")
         body = re.escape(rule).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        out.append(("^" if anchored else "(?:^|/)") + body + ("/" if line.endswith("/") else "(?:/|$)"))
+        out.append(sign + ("^" if anchored else "(?:^|/)") + body + ("/" if line.endswith("/") else "(?:/|$)"))
     return out
 
 

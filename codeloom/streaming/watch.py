@@ -21,12 +21,16 @@ QUIET_MS, HOLD_MS, LEAST_MS = 80, 500, 10
 
 
 def is_watched(path: Column, ignored: list[str] | None = None) -> Column:
-    """`.ts` and `.tsx` files but not declarations, outside skipped folders and ignored path patterns (regular expressions)."""
+    """`.ts` and `.tsx` files but not declarations, outside skipped folders and ignored path patterns (regular expressions).
+
+    Of the patterns that match the last one counts; one that begins with `!` takes the path back in.
+    """
     clean = repo_path(path)
     kept = clean.rlike(r"\.tsx?\z") & ~F.endswith(clean, F.lit(".d.ts")) & ~F.arrays_overlap(F.split(clean, "/"), F.array(*[F.lit(f) for f in SKIPPED_FOLDERS]))
+    skipped = F.lit(False)
     for pattern in ignored or []:
-        kept = kept & ~clean.rlike(pattern)
-    return kept
+        skipped = F.when(clean.rlike(pattern.removeprefix("!")), not pattern.startswith("!")).otherwise(skipped)
+    return kept & ~skipped
 
 
 def flush_delay(first_ms: int, now_ms: int, quiet_ms: int = QUIET_MS, hold_ms: int = HOLD_MS) -> int:
@@ -90,6 +94,11 @@ def flush_changes(batch: DataFrame, current: DataFrame) -> DataFrame:
     return status.join(there, "path", "left")
 
 
+def flush_outcomes(outcomes: DataFrame) -> DataFrame:
+    """(status, n): the outcomes of a flush by status, without unchanged files."""
+    return outcomes.where("status <> 'unchanged'").groupBy("status").agg(F.count("*").alias("n"))
+
+
 def watch(changes: DataFrame, read_current: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Run `apply(changes, batch_id)` on every micro-batch of a stream of (path, content_hash, seq).
 

@@ -51,6 +51,8 @@ def test_source_tree(spark, tmp_path):
     rows = {r.path: r.content for r in source_files(spark, str(tmp_path), "# own\nsrc/gen/\n*.tsx").collect()}
     assert rows == {"src/a.ts": "// src/a.ts\n", "deep/src/h h.ts": "// deep/src/h h.ts\n"}
     assert "(?:^|/)dist(?:/|$)" in ignore_patterns()
+    kept = {r.path for r in source_files(spark, str(tmp_path), "src/gen/\n!src/gen/\n*.tsx\n!b.tsx\n!dist").collect()}
+    assert kept == {"src/a.ts", "src/b.tsx", "src/gen/g.ts", "dist/f.ts", "deep/src/h h.ts"}
 
 
 def test_reports(spark, tmp_path):
