@@ -44,15 +44,20 @@ def _links(line: str) -> int:
     return n if n and _GLUE.fullmatch(rest) else 0
 
 
+_MONEY = re.compile(r"USD|EUR|GBP|CHF|[$€£]")
+
+
 def _items(line: str) -> int:
-    """How many list items a line holds if it is nothing but such; 0 for other lines."""
-    if found := _links(line):
+    """How many list items a line holds if it is nothing but such; 0 for other lines. What a pattern needs is looked for first."""
+    low = line.lower()
+    address = "http" in low or "www." in low
+    if (address or "<a" in low) and (found := _links(line)):
         return found
-    if _TAGS.fullmatch(line):
+    if "#" in line and _TAGS.fullmatch(line):
         return line.count("#")
-    if _COUNTED.fullmatch(line):
+    if "(" in line and _COUNTED.fullmatch(line):
         return line.count("(")
-    return 1 if _PRODUCT.match(line) or _ENTRY.fullmatch(line) else 0
+    return 1 if (_MONEY.search(line) and _PRODUCT.match(line)) or (address and _ENTRY.fullmatch(line)) else 0
 
 
 def _keyword_pairs(words: list[str]) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
@@ -158,7 +163,7 @@ def _blocks(k: int, buckets: int):
         groups = np.cumsum(several) - 1
         holder = np.where(both, -1, np.where(several, BLOCK + groups, rows[first]))
         inside = several[run]
-        members = np.column_stack([groups[run][inside], rows[inside]])
+        members = groups[run][inside] << 16 | rows[inside]
         bucket = (grams[first] >> tv.U64(48)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         names, at = tv.row_starts(bucket[order])
@@ -166,8 +171,8 @@ def _blocks(k: int, buckets: int):
         phrases = [_planes(grams[first[c]].view(np.int64), 6) for c in cuts]
         hosts = [_planes(low[c] | (low[c] ^ high[c]) << 24, 6) for c in cuts]
         columns = [
-            pa.array([*names.tolist(), -1 - block % buckets], pa.int32()), pa.array([block] * (len(cuts) + 1), pa.int64()), pa.array([*phrases, pages.astype(np.int64).tobytes()], pa.binary()),
-            pa.array([*(_planes(holder[c], 3) for c in cuts), members.astype(np.int64).tobytes()], pa.binary()), pa.array([*hosts, given.astype(np.int64).tobytes()], pa.binary()),
+            pa.array([*names.tolist(), -1 - int(tv.mixed(np.array([block], tv.U64))[0] % tv.U64(buckets))], pa.int32()), pa.array([block] * (len(cuts) + 1), pa.int64()), pa.array([*phrases, pages.astype(np.int64).tobytes()], pa.binary()),
+            pa.array([*(_planes(holder[c], 3) for c in cuts), _planes(members, 5)], pa.binary()), pa.array([*hosts, given.astype(np.int64).tobytes()], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, _names(_BLOCKS))
 
@@ -215,15 +220,16 @@ def _scored(key: tuple, rows: pa.Table) -> pa.Table:
     """The answers to one block and the row of its pages -> evidence per page."""
     known = {c: next(x for x in rows.column(c).to_pylist() if x is not None) for c in ("pages", "members", "given")}
     pages = np.frombuffer(known["pages"], np.int64).reshape(-1, 6)
-    members = np.frombuffer(known["members"], np.int64).reshape(-1, 2)
+    members = _from_planes([known["members"]], 5)
+    group, member = members >> 16, members & 0xFFFF
     holders = [x for x in rows.column("holders").to_pylist() if x is not None]
     slots = np.frombuffer(b"".join(x for x in rows.column("slots").to_pylist() if x is not None), np.uint8).astype(np.int64)
     holder = _from_planes(holders, 3)
     counts = np.frombuffer(known["given"], np.int64) + np.bincount((holder * SLOTS + slots)[holder < BLOCK], minlength=len(pages) * SLOTS)
-    answered = np.full(len(members) and int(members[-1, 0]) + 1, -1)
+    answered = np.full(int(group.max(initial=-1)) + 1, -1)
     answered[holder[holder >= BLOCK] - BLOCK] = slots[holder >= BLOCK]
-    hit = answered[members[:, 0]] if len(members) else np.zeros(0, np.int64)
-    counts = counts + np.bincount((members[:, 1] * SLOTS + hit)[hit >= 0], minlength=len(pages) * SLOTS)
+    hit = answered[group]
+    counts = counts + np.bincount((member * SLOTS + hit)[hit >= 0], minlength=len(pages) * SLOTS)
     counts = counts.reshape(-1, SLOTS)
     copied = counts.sum(axis=1)
     shares = [copied / np.maximum(pages[:, 5], 1), counts.max(axis=1, initial=0) / np.maximum(copied, 1)]
