@@ -14,28 +14,28 @@ _PATH = r"(/[^\s\"'`?]+)"
 
 
 def _rx(pattern: str) -> str:
-    return "(?i)" + pattern.replace(" ", _S)
+    return "(?i)" + pattern
 
 
-# The wordings that are recognised, in the order in which they are tried. A blank stands for white space.
-CALLERS = [rf"{_B}(?:what|who|which functions?) calls? {_NAME}", rf"{_B}callers? (?:of|for) {_NAME}"]
+# The wordings that are recognised, in the order in which they are tried.
+CALLERS = [rf"{_B}(?:what|who|which{_S}functions?){_S}calls?{_S}{_NAME}", rf"{_B}callers?{_S}(?:of|for){_S}{_NAME}"]
 CALLEES = [
-    rf"{_B}what does {_NAME} (?:call|depend on|use){_E}",
-    rf"{_B}what (?:functions?|methods?) does {_NAME} (?:call|use|depend on){_E}",
-    rf"{_B}dependencies (?:of|for) {_NAME}",
+    rf"{_B}what{_S}does{_S}{_NAME}{_S}(?:call|depend{_S}on|use){_E}",
+    rf"{_B}what{_S}(?:functions?|methods?){_S}does{_S}{_NAME}{_S}(?:call|use|depend{_S}on){_E}",
+    rf"{_B}dependencies{_S}(?:of|for){_S}{_NAME}",
 ]
-IMPACT = [rf"{_B}(?:if i change|what breaks if i change|change impact for) {_NAME}", rf"{_B}(?:what is affected by|impact of|affected by) {_NAME}"]
-DIRECT = [rf"{_B}what does {_NAME} do{_E}", rf"{_B}explain {_NAME}{_E}"]
+IMPACT = [rf"{_B}(?:if{_S}i{_S}change|what{_S}breaks{_S}if{_S}i{_S}change|change{_S}impact{_S}for){_S}{_NAME}", rf"{_B}(?:what{_S}is{_S}affected{_S}by|impact{_S}of|affected{_S}by){_S}{_NAME}"]
+DIRECT = [rf"{_B}what{_S}does{_S}{_NAME}{_S}do{_E}", rf"{_B}explain{_S}{_NAME}{_E}"]
 FILE = rf"{_B}([A-Za-z0-9_./\\-]+\.(?:ts|tsx|js|jsx)){_E}"
-FILE_ASKED = rf"{_B}(?:what'?s|what is|show|list|inside|in|contents?){_E}"
-ROUTE_METHOD = rf"{_B}(GET|POST|PUT|DELETE|PATCH|ALL|USE) {_PATH}"
-ROUTE = [rf"(?:route|endpoint) {_PATH}", r"(/api/[^\s\"'`?]+)"]
-TYPE = [rf"{_B}(?:type|interface|enum) [`'\"]?([A-Za-z_$][A-Za-z0-9_$]*)[`'\"]?", rf"{_B}what is the [`'\"]?([A-Z][A-Za-z0-9_$]*)[`'\"]? (?:type|interface|enum){_E}"]
+FILE_ASKED = rf"{_B}(?:what'?s|what{_S}is|show|list|inside|in|contents?){_E}"
+ROUTE_METHOD = rf"{_B}(GET|POST|PUT|DELETE|PATCH|ALL|USE){_S}{_PATH}"
+ROUTE = [rf"(?:route|endpoint){_S}{_PATH}", r"(/api/[^\s\"'`?]+)"]
+TYPE = [rf"{_B}(?:type|interface|enum){_S}[`'\"]?([A-Za-z_$][A-Za-z0-9_$]*)[`'\"]?", rf"{_B}what{_S}is{_S}the{_S}[`'\"]?([A-Z][A-Za-z0-9_$]*)[`'\"]?{_S}(?:type|interface|enum){_E}"]
 LISTS = [
-    ("routes", rf"{_B}routes?{_E}", rf"{_B}what calls?{_E}"),
-    ("types", rf"{_B}types?{_E}", rf"{_B}what (?:is|are) the{_E}|{_B}calls?{_E}"),
+    ("routes", rf"{_B}routes?{_E}", rf"{_B}what{_S}calls?{_E}"),
+    ("types", rf"{_B}types?{_E}", rf"{_B}what{_S}(?:is|are){_S}the{_E}|{_B}calls?{_E}"),
     ("types", rf"{_B}(?:interfaces?|enums?){_E}", rf"{_B}calls?{_E}"),
-    ("files", rf"{_B}(?:files?|modules?){_E}", rf"{_B}what(?:'s| is){_E}|{_B}calls?{_E}"),
+    ("files", rf"{_B}(?:files?|modules?){_E}", rf"{_B}what(?:'s|{_S}is){_E}|{_B}calls?{_E}"),
     ("constants", rf"{_B}constants?{_E}", rf"{_B}calls?{_E}"),
 ]
 

@@ -188,6 +188,7 @@ def function_texts(entries: DataFrame, functions: DataFrame, files: DataFrame, r
     direct = F.col("strategy") == "direct"
     indent = F.when(direct, "").otherwise("   ")
     line = lambda label, column: F.concat(indent, F.lit(label), column)
+    # The labels of the lines.
     head = F.when(direct, F.concat(F.lit("Function: "), "name")).otherwise(F.format_string("%d. %s", "entry_at", "name"))
     more = [F.when(F.col("strategy").isin(some) & (F.coalesce(F.col(column), F.lit("")) != ""), line(label, F.col(column))) for label, (column, some) in LINES.items()]
     shown_text = F.concat_ws("\n", head, line("Location: ", F.col("location")), line("Signature: ", F.coalesce("signature", "name")), *more)
@@ -197,6 +198,7 @@ def function_texts(entries: DataFrame, functions: DataFrame, files: DataFrame, r
 def route_text(number: Column, method: Column) -> Column:
     """A route as an entry; its columns are those of the table, with `location`."""
     guards = text.string_array(F.col("middleware"))
+    # The labels of the lines, and how much of a body is shown.
     return F.concat_ws(
         "\n", F.concat(number, F.lit(". "), method, F.lit(" "), F.col("path")), F.concat(F.lit("   Location: "), "location"),
         F.when(F.coalesce("handler_name", F.lit("")) != "", F.concat(F.lit("   Handler: "), "handler_name")), F.when(F.size(guards) > 0, F.concat(F.lit("   Middleware: "), F.array_join(guards, ", "))),
@@ -206,6 +208,7 @@ def route_text(number: Column, method: Column) -> Column:
 
 def constant_text(number: Column) -> Column:
     value = F.col("value_text")
+    # The labels of the lines, and how much of a value is shown.
     return F.concat_ws(
         "\n", F.concat(number, F.lit(". "), F.col("name"), F.when(F.col("is_exported"), " (exported)").otherwise("")), F.concat(F.lit("   Location: "), "location"),
         F.when(F.coalesce("type_annotation", F.lit("")) != "", F.concat(F.lit("   Type: "), "type_annotation")), F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit("   Value: "), text.ellipsis(value, 200))),

@@ -329,6 +329,7 @@ def route_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes, files = _t(spark, sf_dir, "routes", "files")
     one = routes.dropDuplicates(["id"]).join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id", "left")
     guards = text.string_array(F.col("middleware"))
+    # The labels of the lines, and how much of a body is shown.
     lines = [
         F.concat(text.pad_end(F.upper("method"), 7), F.col("path")),
         F.concat(F.lit("   Location: "), text.location(F.col("file_path"), F.col("start_line"))),
