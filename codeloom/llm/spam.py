@@ -247,7 +247,8 @@ def page_spam_evidence(documents: DataFrame, id_col: str, text_col: str, host_co
     """
     pages = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(*[F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")) for c in host_cols]).alias("host"), F.col(text_col).alias("text"))
     pages = pages.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    buckets = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # several, so that tasks get even parts
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * parts, min(32 * parts, 2048))  # many for each task, so that tasks get even parts
     answers = pages.mapInArrow(_blocks(k, buckets), _BLOCKS).groupBy("bucket").applyInArrow(_answers, _ANSWERS)
     scored = answers.groupBy("block").applyInArrow(_scored, _SCORED).where("n_words > 0").dropDuplicates(["doc_id"])
     spam = F.col("stuffed_words") + F.when((F.col("list_items") >= min_items) | (F.col("list_words") >= only_list * F.col("n_words")), F.col("list_words")).otherwise(0)
