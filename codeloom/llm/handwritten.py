@@ -45,7 +45,8 @@ _KEYWORDS = "function|async|await|const|let|var|return|if|else|for|while|switch|
 _NAME = re.compile(rf"(?<![\w$])(?!(?:{_KEYWORDS}|S|N)(?![\w$]))[A-Za-z_$][\w$]*")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
 _BLANKS = re.compile(r"\s+")
-_CLOSERS = {"", "}", "};", "{", "});", "],", "]", "}, {", ")"}
+#: Shapes that say nothing about who wrote a line: brackets, and the literal properties of an object.
+_NEUTRAL = {"", "}", "};", "{", "});", "],", "]", "}, {", ")"} | {f"{name}: {value}{end}" for name in "IS" for value in ("S", "N", "true", "false", "null", "undefined") for end in ("", ",")}
 MIN_LINE = 24
 
 _NUMBERS = ["chars", "digits", "vars", "decls", "names", "name_chars", "code_lines"]
@@ -65,7 +66,7 @@ def function_facts(body: str) -> tuple:
     names = _IDENTIFIER.findall(body)
     code = _COMMENT.sub(" ", body)
     shaped = _NAME.sub("I", _NUMBER.sub("N", _STRING.sub("S", code)))
-    shapes = Counter(s for s in (_BLANKS.sub(" ", line.strip()) for line in shaped.split("\n")) if s not in _CLOSERS)
+    shapes = Counter(s for s in (_BLANKS.sub(" ", line.strip()) for line in shaped.split("\n")) if s not in _NEUTRAL)
     lines = {_hash(s) for s in (_BLANKS.sub(" ", line.strip()).replace('"', "'").rstrip(";") for line in code.split("\n")) if len(s) >= MIN_LINE}
     return (
         len(names),

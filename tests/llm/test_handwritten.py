@@ -147,3 +147,11 @@ def test_lines_with_many_sources_lose_no_copy(spark):
     hot = {f"packages/u{i}/src/copy.ts": source + f"\n  const own{i} = await anything{i}(first, second);" for i in range(60)}
     found, _ = judged(spark, hot | {"packages/z/src/alone.ts": hand()})
     assert found == set(hot)
+
+
+def test_object_literals_are_no_sign_of_a_generator(spark):
+    literal = lambda: f"  const {w()} = {{\n" + "\n".join(f"    {w()}: {RNG.choice([repr(w()), str(RNG.randrange(999)), 'true'])}," for _ in range(5)) + "\n  };"
+    body = "function x() {\n" + "\n".join(literal() for _ in range(4)) + "\n" + "\n".join(hand(12).split("\n")[1:-1]) + "\n}"
+    table_of = "\n".join(f"  e.{w()}Name = row['{w()}Name'] as string;" for _ in range(20))
+    found, _ = judged(spark, {"packages/a/src/x.ts": body, "packages/a/src/y.ts": f"fromRow(row) {{\n{table_of}\n  return e;\n}}"})
+    assert found == {"packages/a/src/y.ts"}
