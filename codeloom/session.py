@@ -15,7 +15,7 @@ _WRITTEN: list[str] = []
 _SHIPPED: set[str] = set()
 
 
-def local_session(cores: str = "8", partitions: int = 8, app: str = "codeloom") -> SparkSession:
+def local_session(cores: str = "8", partitions: int = 8, app: str = "codeloom", more: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the bench; on a cluster the caller brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,6 +27,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "codeloom")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=more or {})
         .getOrCreate()
     )
 
