@@ -385,12 +385,26 @@ cb AS (SELECT id, string_agg(coalesce(name, 'unknown'), ', ' ORDER BY o) AS call
  FROM ed JOIN fn ON callee_function_id = fn.id OR callee_name = fn.name GROUP BY 1, 2) e LEFT JOIN fn c ON c.id = e.caller_function_id) GROUP BY id)"""
 _FIT = r"CASE WHEN ceil(length({0}) / 4) <= 3000 THEN {0} ELSE regexp_replace(substring({0}, 1, 12000), '\n[^\n]*$', '') || chr(10) || chr(10) || '[Context truncated to fit ~3000 tokens.]' END"
 
+_LINE = "CASE WHEN strategy IN ({0}) AND coalesce({1}, '') <> '' THEN ind || '{2}' || {1} END"
+_LINES = ", ".join(_LINE.format(", ".join(repr(x) for x in some), {"behavior": "behavior_summary"}.get(c, c), label) for label, (c, some) in LINES.items())
+_ASKED_CONTEXTS = f"""{_ASKED}, {_CARDS},
+ft AS (SELECT question_id, strategy, 0 AS section, entry_at, concat_ws(chr(10), CASE WHEN strategy = 'direct' THEN 'Function: ' ELSE entry_at || '. ' END || nu.name, ind || 'Location: ' || nu.location, ind || 'Signature: ' || coalesce(signature, nu.name), {_LINES}) AS t
+ FROM (SELECT *, CASE WHEN strategy = 'direct' THEN '' ELSE '   ' END AS ind FROM nu WHERE kind = 'function') nu LEFT JOIN ef ON ef.id = entity_id LEFT JOIN ca ON ca.id = entity_id LEFT JOIN cb ON cb.id = entity_id
+ UNION ALL SELECT question_id, strategy, 1, entry_at, concat_ws(chr(10), entry_at || '. ' || ro.method || ' ' || ro.path, '   Location: ' || ro.location, CASE WHEN handler_name <> '' THEN '   Handler: ' || handler_name END,
+ CASE WHEN guards <> '' THEN '   Middleware: ' || guards END, CASE WHEN purpose <> '' THEN '   Purpose: ' || purpose END, '   Handler body: ' || CASE WHEN length(handler_body) > 300 THEN substring(handler_body, 1, 300) || '...' ELSE coalesce(handler_body, '') END)
+ FROM nu JOIN (SELECT *, CASE WHEN CASE WHEN json_valid(middleware) THEN json_type(middleware) END = 'ARRAY' THEN array_to_string(from_json(middleware, '["VARCHAR"]'), ', ') ELSE '' END AS guards FROM ro) ro ON kind = 'route' AND ro.id = entity_id),
+bo AS (SELECT question_id, string_agg(t, chr(10) || chr(10) ORDER BY section, entry_at) AS b FROM ft GROUP BY 1),
+fb AS (SELECT question_id, {_FIT.format('b')} AS b FROM bo), ct AS (SELECT question_id, strategy, count(*) AS n FROM nu GROUP BY 1, 2),
+qu AS (SELECT question_id, CASE k WHEN 0 THEN 'what calls ' || name WHEN 1 THEN 'what does ' || name || ' call?' WHEN 2 THEN 'explain ' || name ELSE 'tell me about ' || name END AS question FROM q)
+SELECT question_id, CASE WHEN n IS NULL THEN '{NOTHING_FOUND}' || chr(10) || chr(10) || 'Question: ' || question
+ ELSE '[Context retrieved via ' || strategy || ' strategy | ' || n || ' entities | ~' || ceil(length(coalesce(b, '')) / 4)::BIGINT || ' tokens]' || chr(10) || chr(10) || coalesce(b, '') END AS context FROM qu LEFT JOIN ct USING (question_id) LEFT JOIN fb USING (question_id)"""
 _FUNCTION_CARDS = f"""{_FN}, {_CARDS}, c AS (SELECT id, concat_ws(chr(10), 'Function: ' || name, 'Location: ' || location, 'Signature: ' || signature, CASE WHEN purpose <> '' THEN 'Purpose: ' || purpose END, CASE WHEN behavior_summary <> '' THEN 'Behavior: ' || behavior_summary END,
  CASE WHEN effects <> '' THEN 'Side Effects: ' || effects END, CASE WHEN domain <> '' THEN 'Domain: ' || domain END, CASE WHEN complexity <> '' THEN 'Complexity: ' || complexity END, CASE WHEN calls <> '' THEN 'Calls: ' || calls END, CASE WHEN called_by <> '' THEN 'Called By: ' || called_by END) AS t
  FROM ef LEFT JOIN ca USING (id) LEFT JOIN cb USING (id)), ra AS (SELECT id, {_FIT.format('t')} AS card FROM c)"""
 
 ORACLE = {
     "ask_entries": _ASKED + " SELECT * FROM nu",
+    "ask_contexts": _ASKED_CONTEXTS,
     "ask_other_entries": _OTHERS + " SELECT * FROM nu",
     "function_cards": f"WITH {_FUNCTION_CARDS} SELECT id, card FROM ra",
     "token_savings": f"""WITH {_FUNCTION_CARDS}, t AS (SELECT (SELECT sum(ceil(length(body) / 4)) FROM (SELECT DISTINCT id, body FROM functions)) AS a, (SELECT avg(ceil(length(card) / 4)) FROM ra) AS b)
