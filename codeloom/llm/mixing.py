@@ -16,7 +16,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -65,10 +65,11 @@ def _scaled(cells: DataFrame, column: str) -> DataFrame:
     sums = cells.groupBy(column).agg(F.sum(F.when(below, mass).otherwise(0.0)).alias("_free"), F.sum(F.when(below, 0.0).otherwise(mass)).alias("_fixed"))
     free, fixed = F.col("_free"), F.col("_fixed")
     scale = F.when(target < fixed, target / (fixed + free)).when(below & (free > 0), (target - fixed) / free).otherwise(1.0)
-    return cells.join(sums.hint("merge"), column).withColumn("weight", F.least(F.col("cap"), F.col("weight") * scale)).select(*cells.columns)
+    # topics grow with the data, languages and sources don't
+    return cells.join(sums.hint("merge") if column == "topic" else sums, column).withColumn("weight", F.least(F.col("cap"), F.col("weight") * scale)).select(*cells.columns)
 
 
-def raked_weights(counted: DataFrame, targets: DataFrame, total_tokens: float | None = None, tolerance: float = 1e-4, max_sweeps: int = 12) -> DataFrame:
+def raked_weights(counted: DataFrame, targets: DataFrame, total_tokens: float | None = None, tolerance: float = 1e-3, max_sweeps: int = 12) -> DataFrame:
     """(source, lang, topic, tokens, cap, weight, goal): expected copies per document of each cell, and the goal of its source.
 
     `counted` has source, lang, topic, tokens; `targets` source, target_share, max_repeats. The total defaults to the tokens of
@@ -91,9 +92,9 @@ def raked_weights(counted: DataFrame, targets: DataFrame, total_tokens: float |
         cells = cells.withColumn("was", F.col("weight"))
         for column in ("topic", "lang", "source"):
             cells = _scaled(cells, column)
-        cells = written(cells, "mixing-sweep")
-        change = cells.agg(F.max(F.abs(F.col("weight") - F.col("was")) / F.col("cap"))).first()[0] or 0.0
-        if change <= tolerance:
+        seen = Observation()
+        cells = written(cells.observe(seen, F.max(F.abs(F.col("weight") - F.col("was")) / F.col("cap")).alias("change")).drop("was"), "mixing-sweep")
+        if (seen.get["change"] or 0.0) <= tolerance:
             break
     short = F.col("source_target") - F.col("reached")
     while True:  # each round caps further cells of the sources that are short, so it ends; mostly after one
